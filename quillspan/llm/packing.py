@@ -1,7 +1,8 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-A document longer than a window is cut into full windows and a rest. Rests and short documents
-are dealt into blocks by hash; in each block k = ceil(sum / capacity) partial partitions are
+A document longer than a window is cut into full windows and a rest, and the rest at multiples of
+GRAIN, since many middling pieces balance better than few large ones. Pieces are dealt into blocks
+by hash; in each block k = ceil(sum / capacity) partial partitions are
 merged, the two with the largest spread first and with opposing imbalances, until one is left:
 k near-equal windows. Where the fullest exceeds the capacity, k rises and the block is dealt
 again. A block holds about BLOCK pieces whatever the size of the table, so no task grows.
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from quillspan.llm.bpe import VOCABULARY, merger
 from quillspan.llm.textbatch import steps
 
-#: Expected pieces of a block; the number of blocks follows the number of documents.
+#: Expected documents of a block; the number of blocks follows the number of documents.
 BLOCK = 1500
+#: Longest piece, in ids, of what does not fill a window of its own.
+GRAIN = 1024
 #: Sequences of a block are numbered within 2**ROOM.
 ROOM = 32
 
@@ -81,8 +84,8 @@ def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += max(1, k // 256)
 
 
-def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id", end_id: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, start, length, doc_tokens, ids): each document's ids and `end_id`, cut at multiples of the capacity.
+def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id", end_id: int = 2, grain: int = GRAIN, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, start, length, doc_tokens, ids): each document's ids and `end_id`, cut into full windows and pieces of `grain` at most.
 
     A null or empty text is the end id alone. `ids` holds little-endian unsigned 32-bit numbers.
     """
@@ -96,10 +99,11 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: s
                 rows, start, ids, whole = [], [], [], []
                 for row, x in enumerate(tool.encode(part.column(1).to_pylist())):
                     x += tail
-                    for at in range(0, len(x), 4 * capacity):
+                    full = len(x) - len(x) % (4 * capacity)
+                    for at, to in [*((a, a + 4 * capacity) for a in range(0, full, 4 * capacity)), *((a, a + 4 * grain) for a in range(full, len(x), 4 * grain))]:
                         rows.append(row)
                         start.append(at // 4)
-                        ids.append(x[at : at + 4 * capacity])
+                        ids.append(x[at:to])
                         whole.append(len(x) // 4)
                 length = pa.array([len(x) // 4 for x in ids], pa.int64())
                 arrays = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), length, pa.array(whole, pa.int64()), pa.array(ids, pa.binary())]

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from quillspan.llm.bpe import op7_token_counts
+from quillspan.llm.decontaminate import OP6_SQL, op6_decontamination
 from quillspan.llm.packing import op8_packing
 
 QUERIES = {
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+}
