@@ -77,14 +77,19 @@ def suffix_array(rank: np.ndarray, row: np.ndarray, depth: int) -> np.ndarray:
         inside = to < n
         to[~inside] = 0
         inside &= row[to] == row[live]
-        pair = key[live] * (n + 2) + np.where(inside, key[to], 0)
-        by = np.argsort(pair)
-        order, seen = live[by], pair[by]
-        fresh = np.cumsum(np.concatenate(([2], (seen[1:] != seen[:-1]).astype(np.int64)))) if len(by) else seen
+        first, second = key[live], np.where(inside, key[to], 0)
+        if n + 2 < 1 << 21:  # both ranks and the position fit one number, which sorts faster than an argsort
+            packed = np.sort((first.astype(np.uint64) << np.uint64(42)) | (second.astype(np.uint64) << np.uint64(21)) | live.astype(np.uint64))
+            order, seen = (packed & np.uint64((1 << 21) - 1)).astype(np.int64), packed >> np.uint64(21)
+        else:
+            pair = first * (n + 2) + second
+            by = np.argsort(pair)
+            order, seen = live[by], pair[by]
+        fresh = np.cumsum(np.concatenate(([2], (seen[1:] != seen[:-1]).astype(np.int64)))) if len(order) else order
         key = np.ones(n, np.int64)
         key[order] = fresh
         have *= 2
-        if len(by) == 0 or fresh[-1] == len(by) + 1:
+        if len(order) == 0 or fresh[-1] == len(order) + 1:
             break
     return order
 

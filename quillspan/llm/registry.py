@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from quillspan.llm.bpe import op7_token_counts
 from quillspan.llm.decontaminate import OP6_SQL, op6_decontamination
+from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": OP1_SQL,
     "op6_decontamination": OP6_SQL,
 }
