@@ -6,12 +6,16 @@ from quillspan.llm.bpe import op7_token_counts
 from quillspan.llm.decontaminate import OP6_SQL, op6_decontamination
 from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
+from quillspan.llm.sharding import op4_sharding
+from quillspan.llm.urls import op9_url_filter
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op4_sharding": op4_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": OP1_SQL,
