@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillspan.llm.bpe import op7_token_counts
 from quillspan.llm.decontaminate import OP6_SQL, op6_decontamination
+from quillspan.llm.media import op10_media
 from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
 from quillspan.llm.sharding import op4_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": OP1_SQL,
