@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillspan.llm.bpe import op7_token_counts
 from quillspan.llm.decontaminate import OP6_SQL, op6_decontamination
+from quillspan.llm.langid import op5_language
 from quillspan.llm.media import op10_media
 from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
@@ -13,6 +14,7 @@ from quillspan.llm.urls import op9_url_filter
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op4_sharding": op4_sharding,
+    "op5_language": op5_language,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
