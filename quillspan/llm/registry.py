@@ -9,12 +9,14 @@ from quillspan.llm.media import op10_media
 from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
 from quillspan.llm.pii import op2_personal_data
+from quillspan.llm.ppm import op3_lm_score
 from quillspan.llm.sharding import op4_sharding
 from quillspan.llm.urls import op9_url_filter
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_personal_data": op2_personal_data,
+    "op3_lm_score": op3_lm_score,
     "op4_sharding": op4_sharding,
     "op5_language": op5_language,
     "op6_decontamination": op6_decontamination,
