@@ -25,3 +25,26 @@ def get_session(master: str | None = None, app: str = "quillspan", **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once per context, so that they need no shared path."""
+    context = spark.sparkContext
+    if not getattr(context, "_quillspan_shipped", False):
+        import tempfile
+        import zipfile
+        from pathlib import Path
+
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="quillspan-ship-")) / "quillspan.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, Path("quillspan") / path.relative_to(root))
+        context.addPyFile(str(target))
+        context._quillspan_shipped = True
+    return spark
+
+
+def shipped(queries: dict) -> dict:
+    """The same queries, each of which ships the package before it runs."""
+    return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in queries.items()}
