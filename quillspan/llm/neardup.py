@@ -3,11 +3,13 @@
 1. Every whole text is read once: its distinct shingles, as 64-bit hashes, give a set key (two
    64-bit sums), a signature and band keys. Equal sets are one class from here on, so copies
    cost one row each and no links.
-2. Classes meet in band buckets. Each member is paired with its bucket's smallest member alone;
-   what these links leave apart is compared in a second round: members outside a bucket's
-   largest component against all members of the bucket. Small buckets by a join; large ones as
-   pairs of blocks of signatures, of which only the survivors become rows. So a large group of
-   copies costs links in proportion to its size and no link between components is left out.
+2. Classes meet in band buckets. Each member is paired with its bucket's hub alone: the member whose
+   buckets are the largest, as the original of many copies is. What these links leave apart is
+   compared in a second round: pairs of a bucket whose members are in different components. In
+   small buckets by a join; large ones as pairs of blocks, each pair of members in the first
+   bucket they share, with the exact check in place, so that only links which connect something
+   become rows. So a large group of copies makes rows in proportion to its size and no link
+   between components is left out.
 3. Pairs are compared by batches of their signatures. After each batch the posterior of the
    similarity, under a flat prior, is known; a pair goes once the chance that it reaches the
    threshold falls below `miss`. The survivors' full sets are compared exactly.
@@ -245,9 +247,10 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> Data
     return found.select("node", "z").mapInArrow(own, "node long, z binary").dropDuplicates(["node"])
 
 
-def _rest(members: DataFrame, comp: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Bayesian survivors among pairs of a bucket that the first round left in different components."""
-    tagged = members.join(comp, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root"))
+def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that the first round left in different components."""
+    threshold = percent / 100
+    tagged = members.join(comp, "node", "left").select("bucket", "band", "node", "pivot", F.coalesce("root", "node").alias("root"))
     per = tagged.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max_by("root", F.struct("n", "root")).alias("main"))
     open_ = tagged.join(main.where("comps > 1 and size > 2"), "bucket")
@@ -259,27 +262,54 @@ def _rest(members: DataFrame, comp: DataFrame, sigs: DataFrame, threshold: float
     big = open_.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each member goes to the block pairs (mine, other) and (other, mine) with the lower number first
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root", "mine")
+    big = big.select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root", "mine")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
-        sig = _matrix(table["sig"].combine_chunks() if isinstance(table["sig"], pa.ChunkedArray) else table["sig"])
-        left, right = np.flatnonzero(mine == table["i"][0].as_py()), np.flatnonzero(mine == table["j"][0].as_py())
-        least = least_matches(threshold, MISS)
-        out = []
+        band, i, j = (table[c][0].as_py() for c in ("band", "i", "j"))
+        sig = _matrix(table["sig"].combine_chunks())
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = []
         for p in left.tolist():
-            q = right[(root[right] != root[p])]
-            for step, fewest in enumerate(least):
+            q = right[(root[right] != root[p]) & ((node[right] > node[p]) | (i != j))]
+            q = q[~(bands[q, :band] == bands[p, :band]).any(axis=1)]
+            for step, fewest in enumerate(least_matches(threshold, MISS)):
                 if not len(q):
                     break
-                q = q[(sig[q, : (step + 1) * BATCH] == sig[p, : (step + 1) * BATCH]).sum(axis=1) >= fewest]
-            out.append(np.stack([np.full(len(q), node[p]), node[q]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both.max(axis=0), "b": both.min(axis=0)})
-
-    far = big.join(sigs, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
-    return _filtered(pairs, sigs, threshold).union(far).distinct()
+                equal = (sig[q, : (step + 1) * BATCH] == sig[p, : (step + 1) * BATCH]).sum(axis=1)
+                q, equal = q[equal >= fewest], equal[equal >= fewest]
+            if len(q):
+                found.append(np.stack([np.full(len(q), p), q, equal]))
+        links: list[tuple[int, int]] = []
+        if found:
+            pairs = np.concatenate(found, axis=1)
+            pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
+            used = np.unique(pairs[:2])
+            unzip = zstandard.ZstdDecompressor()
+            texts = table["z"].take(pa.array(used)).to_pylist()
+            sets, sizes = shingles(pa.array([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in texts], pa.large_string()))
+            of = dict(zip(used.tolist(), np.split(sets, np.cumsum(sizes)[:-1])))
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while above.get(x, x) != x:
+                    x = above[x]
+                return x
+
+            for p, q in pairs[:2].T.tolist():
+                a, b = top(int(root[p])), top(int(root[q]))
+                if a != b:
+                    both = len(np.intersect1d(of[p], of[q], assume_unique=True))
+                    if 100 * both >= percent * (len(of[p]) + len(of[q]) - both):
+                        above[max(a, b)] = min(a, b)
+                        links.append((max(int(node[p]), int(node[q])), min(int(node[p]), int(node[q]))))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    far = big.join(classes.select("node", "sig", "bands"), "node").join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    near = _confirmed(_filtered(pairs, classes.select("node", "sig"), threshold), texts, percent)
+    return near.union(far).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -292,17 +322,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     base = written(document_sets(docs, text, key), "sets")
     full = base.where(F.col("node").isNotNull())
     classes = written(full.groupBy("node", "guard").agg(F.min(key).alias("rep"), F.count("*").alias("n_class"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    members = written(bands.join(shared, "bucket"), "members")
-    sigs = classes.select("node", "sig")
+    bands = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(bands.join(shared, "bucket"), "buckets")
+    hubs = sized.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = sized.join(hubs, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    members = written(sized.select("bucket", "band", "node").join(pivots, "bucket"), "members")
+    drop(sized)
     texts = written(_node_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias(key)), text, key), "texts")
 
-    star = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_confirmed(_filtered(star, sigs, threshold), texts, percent), "links")
+    star = members.where("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    links = written(_confirmed(_filtered(star, classes.select("node", "sig"), threshold), texts, percent), "links")
     comp = written(components(links), "components")
-    more = _confirmed(_rest(members, comp, sigs, threshold), texts, percent)
-    more = written(more, "links")
+    more = written(_rest(members, comp, classes, texts, percent), "links")
     if more.isEmpty():
         last = comp
     else:

@@ -12,8 +12,9 @@ from quillspan.llm.pii import op2_personal_data
 from quillspan.llm.ppm import op3_lm_score
 from quillspan.llm.sharding import op4_sharding
 from quillspan.llm.urls import op9_url_filter
+from quillspan.session import shipped
 
-QUERIES = {
+QUERIES = shipped({
     "op1_near_duplicates": op1_near_duplicates,
     "op2_personal_data": op2_personal_data,
     "op3_lm_score": op3_lm_score,
@@ -24,7 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_media": op10_media,
-}
+})
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": OP1_SQL,
     "op6_decontamination": OP6_SQL,
