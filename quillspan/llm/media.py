@@ -34,7 +34,7 @@ from quillspan.llm.textbatch import mix, steps, text_buffer
 
 UNIT = 192
 #: Mean chunk 2**BITS beyond LEAST, at most MOST bytes.
-BITS, LEAST, MOST = 10, 256, 8192
+BITS, LEAST, MOST = 11, 256, 16384
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -111,7 +111,7 @@ def _packed_payloads(docs: DataFrame, text: str, key: str, unit: int) -> DataFra
     """(pk, rk, z): each row's payload, compressed for its one shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        tool = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in batches:
             for part in steps(batch):
                 found = [p for _, p in payloads(part.column(1), unit)]
@@ -167,14 +167,14 @@ def _read(pk: bytes, lens: list[int], data: bytes, shared: dict[int, bytes]) ->
     head = b"".join(digest(p) + struct.pack("<I", len(p)) for p in pieces)
     media = hashlib.sha256(head)
     media.update(payload)
-    return pk, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(head) + len(payload), media.hexdigest(), features(payload, len(pieces))
+    return pk, hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(head) + len(payload), media.digest(), features(payload, len(pieces))
 
 
-_RESULT = "pk binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_RESULT = "pk binary, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     columns = list(zip(*rows)) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["pk", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
@@ -201,7 +201,7 @@ class MediaStore:
         plan = reps.join(held, "pk", "left")
         rows = _packed_payloads(docs, text, key, unit).join(plan, ["pk", "rk"]).select("z", "pk", "lens", "digests", "shared", "owned")
         self.path = new_path(spark, "media")
-        rows.mapInArrow(_stored, "kind string, name binary, data binary, lens array<int>").write.option("compression", "zstd").partitionBy("kind").parquet(self.path)
+        rows.mapInArrow(_stored, "kind string, name binary, data binary, lens array<int>").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").partitionBy("kind").parquet(self.path)
         self.store = spark.read.schema("name binary, data binary, lens array<int>, kind string").parquet(self.path)
         drop(reps)
 
@@ -217,7 +217,8 @@ class MediaStore:
 def media(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: int = UNIT) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row, read back."""
     store = MediaStore(docs, text, key, unit)
-    return store.lists.select(key, "n_bytes", "payload_bytes", "pk").join(store.read(), "pk").drop("pk")
+    out = store.lists.select(key, "n_bytes", "payload_bytes", "pk").join(store.read(), "pk").drop("pk")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
