@@ -1,18 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet before the next reads it."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet before the next reads it.
+
+All stages but the last return the columns of `documents`. Each works on every row that its
+predecessor kept and is a function of those rows alone.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quillspan.llm.decontaminate import decontaminated
+from quillspan.llm.langid import UNKNOWN, fit, held_out, labelled_sample, predictions
+from quillspan.llm.neardup import deduplicated
 from quillspan.llm.packing import packed
+from quillspan.llm.pii import redacted
 from quillspan.llm.scratch import written
+from quillspan.session import ship
+
+#: A text whose best language is barely ahead of the others' mean is rejected with those of no language.
+LEAST_SCORE = 0.3
+
+
+def language_stage(spark, docs, sf_dir):
+    """Documents with a recognised language; the model learns from the labelled rows that are not held out."""
+    model = fit(labelled_sample(docs.where(~held_out())))
+    judged = predictions(docs, model)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def duplicate_stage(spark, docs, sf_dir):
+    """The document with the smallest id of each group of near duplicates."""
+    return deduplicated(docs)
 
 
-def pack_stage(spark, docs, sf_dir):
-    """Sequences of at most 4096 tokens from the documents that are left."""
+def benchmark_stage(spark, docs, sf_dir):
+    """Documents that hold no window of a benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def privacy_stage(spark, docs, sf_dir):
+    """All documents, personal data masked, lengths renewed."""
+    return redacted(docs, length="n_chars" if "n_chars" in docs.columns else None)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Pieces of sequences of at most 4096 tokens."""
     return packed(docs)
 
 
-STAGES = [("packing", pack_stage)]
-#: Trained models, hashes and tokenizers decide here: SQL cannot express the stages.
+def _stage(f):
+    return lambda spark, docs, sf_dir: f(ship(spark), docs, sf_dir)
+
+
+STAGES = [
+    ("language ID", _stage(language_stage)),
+    ("near duplicates", _stage(duplicate_stage)),
+    ("decontamination", _stage(benchmark_stage)),
+    ("personal data", _stage(privacy_stage)),
+    ("packing", _stage(packing_stage)),
+]
+#: Trained models, hashes and a tokenizer decide: SQL cannot express the stages, tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
