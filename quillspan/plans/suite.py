@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import tabular
+from quillspan.plans import signals, tabular
 from quillspan.session import shipped
 
-QUERIES = shipped({**tabular.QUERIES})
-ORACLES = {**tabular.ORACLES}
+QUERIES = shipped({**tabular.QUERIES, **signals.QUERIES})
+ORACLES = {**tabular.ORACLES, **signals.ORACLES}
