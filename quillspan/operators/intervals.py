@@ -153,8 +153,9 @@ def zip_padded(left: DataFrame, right: DataFrame, order_left: str, order_right:
     tail = b.groupBy(KEY).agg(F.first("__last").alias("__last"), F.first("__n").alias("__n"))
     out = a.join(b.select(KEY, "rn", value), [KEY, "rn"], "left").join(tail, KEY, "left")
     if policy == "strict":
-        n = F.count("*").over(whole)
-        return out.where(F.when(n == F.col("__n"), F.lit(True)).otherwise(F.raise_error(F.lit("feature and label counts differ")).cast("boolean"))).drop("__last", "__n")
+        out = out.withColumn("__own", F.count("*").over(whole))
+        checked = F.when(F.col("__own").eqNullSafe(F.col("__n")), F.col(value)).otherwise(F.raise_error(F.lit("feature and label counts differ")).cast(right.schema[value].dataType))
+        return out.withColumn(value, checked).drop("__last", "__n", "__own")
     pad = F.col("__last") if policy == "last" else F.lit(constant)
     return out.withColumn(value, F.coalesce(value, pad)).drop("__last", "__n")
 
