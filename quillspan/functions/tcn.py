@@ -69,3 +69,8 @@ def temporal_loss(p: np.ndarray, y: np.ndarray, tau: float = 4.0) -> float:
     """Mean squared change of log probabilities over time, cut at tau."""
     d = np.diff(np.log(np.maximum(p, 1e-7)), axis=0)
     return float(np.minimum(np.abs(d), tau).__pow__(2).mean()) if len(p) > 1 else 0.0
+
+
+def weighted_loss(p: np.ndarray, y: np.ndarray, smooth: float = 0.15) -> float:
+    """Cross entropy and a share of the temporal loss."""
+    return float(-(y * np.log(np.maximum(p, 1e-7))).sum(axis=1).mean() + smooth * temporal_loss(p, y))

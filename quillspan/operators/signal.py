@@ -97,6 +97,25 @@ def pooled(df: DataFrame, keys: list[str], at: str, size: int, value: str = "x",
     return tiles.agg(hi.alias("hi"), lo.alias("lo"), (hi - lo).alias("gradient"), (share * hi + (1 - share) * mean).alias("mixed"), (share * hi + (1 - share) * lo).alias("maxmin"))
 
 
+def with_noise(value: str | Column, power: float, seed: int) -> Column:
+    """Samples with normal noise added."""
+    return F.col(value) + F.randn(seed) * power if isinstance(value, str) else value + F.randn(seed) * power
+
+
+def sub_range(df: DataFrame, at: str, total: int, share: float, seed: int) -> DataFrame:
+    """A contiguous share of the places 0 .. total - 1, its start drawn by the seed."""
+    size = max(1, int(total * share))
+    begin = int(np.random.default_rng(seed).integers(0, max(1, total - size + 1)))
+    return df.where(F.col(at).between(begin, begin + size - 1))
+
+
+def flattened(windows: DataFrame, keys: list[str], array: str, stride: int, margin: int = 0) -> DataFrame:
+    """(keys, frame, value) of (keys, window_id, array): windows unrolled, `margin` places cut at both ends."""
+    rows = windows.select(*keys, "window_id", F.posexplode(array).alias("pos", "value"), F.size(array).alias("__n"))
+    kept = rows.where((F.col("pos") >= margin) & (F.col("pos") < F.col("__n") - margin))
+    return kept.select(*keys, (F.col("window_id") * stride + F.col("pos")).alias("frame"), "value")
+
+
 def kernel(df: DataFrame, key: str, samples: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(key, values): a numpy kernel on each row's samples, by Arrow batches; null or empty samples give null."""
     kind = df.schema[key].dataType.simpleString()

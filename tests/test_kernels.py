@@ -62,3 +62,27 @@ def test_network_is_a_distribution_and_causal():
     y[30:] += 5
     assert np.allclose(tcn.forward(net, y, causal=True)[:30], p[:30])
     assert tcn.receptive_field(3, 1, 8) == 24 and tcn.adjusted([0, 1, 2]) == [1, 2, 4]
+
+
+def test_weights_of_elements():
+    w = np.array([[0.5, -0.5, 0.2], [1.0, 0.3, -2.0], [0.0, 0.0, 0.0]])
+    assert mo.non_positive(w).max() == 0 and mo.non_positive(w, True)[1, 1] == 0 and mo.lattice(w).min() == -1 and mo.zero_to_one(w).max() == 1
+    assert mo.start("minus_ones_zero_centre", (3, 3)).sum() == -8 and mo.lattice_penalty(mo.start("minus_ones", (3, 3)), 1, 1) == 0
+    assert set(np.unique(mo.start("signed", (9, 9)))) == {-1.0, 1.0} and np.isneginf(mo.masked_element(w, mo.diamond(3))[0, 0])
+    x = np.random.default_rng(5).normal(size=(2, 6, 6))
+    assert mo.profile(x[0], (3, 5)).shape == (5, 6, 6) and mo.separable(x, [mo.flat(3)] * 2).shape == (6, 6)
+    p = np.full((5, 2), 0.5)
+    assert tcn.weighted_loss(p, np.eye(2)[[0, 1, 0, 1, 0]]) == pytest.approx(np.log(2))
+
+
+def test_windows_unroll(spark):
+    from quillspan.operators import signal
+
+    df = spark.createDataFrame([(1, [float(i) for i in range(10)])], "k long, x array<double>")
+    from pyspark.sql import functions as F
+
+    w = df.select("k", F.posexplode(signal.windows_of("x", 4, 1, 2)).alias("window_id", "w"))
+    assert w.count() == 6
+    got = signal.flattened(w, ["k"], "w", 1, 1).select("frame", "value").distinct().orderBy("frame").collect()
+    assert [(r["frame"], r["value"]) for r in got] == [(i, float(i)) for i in range(1, 8)]
+    assert signal.sub_range(spark.range(100), "id", 100, 0.2, 1).count() == 20
