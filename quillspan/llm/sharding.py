@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.scratch import drop, written
@@ -55,6 +55,11 @@ def with_range(keyed: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     return keyed.mapInArrow(run, f"{fields}, range long")
 
 
+def _number(text: Column) -> Column:
+    """60 bits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _sample(keyed: DataFrame, per_byte) -> list[tuple[int, int, float]]:
     """Size-weighted Poisson sample: a record is drawn with chance min(1, size * per_byte), by a hash of its key."""
     chance = F.least(F.lit(1.0), F.col("size") * per_byte)
@@ -70,7 +75,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "do
     `records` records, whichever is more: for 10**10 records 50,000 pairs of numbers.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("k"), F.xxhash64(F.col(key)).alias("tie"))
+    keyed = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), _number(body).alias("k"), _number(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("tie"))
     keyed = written(keyed, "keys")
     whole = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, total = whole["n"], max(1, whole["bytes"])
@@ -107,3 +112,16 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
     out = sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same rows in DuckDB, which has no CRC-32: its table of 256 remainders comes from the polynomial.
+OP4_SQL = r"""
+WITH RECURSIVE p AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS r FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, r + 1 FROM p WHERE r < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM p WHERE r = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+b AS (SELECT doc_id, x, list_transform(list_filter(string_split(regexp_replace(hex(encode(x)), '(..)', '\1,', 'g'), ','), lambda h: h <> ''), lambda h: ('0x' || h)::BIGINT) AS bytes FROM d),
+k AS (SELECT doc_id, len(bytes) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32,
+  ('0x' || substr(md5(x), 1, 15))::BIGINT AS k, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS tie FROM b, t),
+s AS (SELECT *, least(7, (2 * sum(size) OVER (ORDER BY k, tie, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 8 // (2 * sum(size) OVER ()))::INT AS shard FROM k)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, tie, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
