@@ -10,8 +10,8 @@ from quillspan.llm.neardup import OP1_SQL, op1_near_duplicates
 from quillspan.llm.packing import op8_packing
 from quillspan.llm.pii import op2_personal_data
 from quillspan.llm.ppm import op3_lm_score
-from quillspan.llm.sharding import op4_sharding
-from quillspan.llm.urls import op9_url_filter
+from quillspan.llm.sharding import OP4_SQL, op4_sharding
+from quillspan.llm.urls import OP9_SQL, op9_url_filter
 from quillspan.session import shipped
 
 QUERIES = shipped({
@@ -28,5 +28,7 @@ QUERIES = shipped({
 })
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": OP1_SQL,
+    "op4_sharding": OP4_SQL,
     "op6_decontamination": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
 }

@@ -103,3 +103,37 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", levels: int = LEVELS
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
+def _oracle() -> str:
+    """The same rows in DuckDB: one common table per step, the levels written out."""
+    by_length = sorted(RULES, key=lambda r: -len(r[1]))
+    tests = []
+    for what, rule in by_length:
+        of, slash, rest = rule.partition("/")
+        tests.append((f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{slash + rest}')", rule, what))
+    case = lambda i: "CASE " + " ".join(f"WHEN {t[0]} THEN '{t[i]}'" for t in tests) + " END"
+    number, keyed = r"^\d+(\.[A-Za-z]{1,5})?$", r"^[0-9A-Za-z_-]{8,}(\.[A-Za-z]{1,5})?$"
+    steps = [
+        "u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages)",
+        f"v AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"w AS (SELECT *, {case(1)} AS rule, {case(2)} AS by_rule, list_filter(string_split(path, '/'), lambda s: s <> '')[1:{LEVELS}] AS cut FROM v)",
+        f"x AS (SELECT *, list_transform(cut, lambda s: CASE WHEN regexp_matches(s, '{number}') THEN '{{n}}' || regexp_extract(s, '{number}', 1) WHEN regexp_matches(s, '{keyed}') AND regexp_matches(s, '[0-9]') THEN '{{k}}' || regexp_extract(s, '{keyed}', 1) ELSE s END) AS segments FROM w)",
+        "l0 AS (SELECT host, segments, count(*) AS n, count(*) FILTER (by_rule = 'block') AS rejected, count(by_rule) AS labelled, []::VARCHAR[] AS template FROM x GROUP BY host, segments)",
+    ]
+    for k in range(LEVELS):
+        steps += [
+            f"c{k} AS (SELECT *, CASE WHEN len(segments) > {k} THEN segments[{k + 1}] ELSE '' END AS child FROM l{k})",
+            f"p{k} AS (SELECT host, template, child, sum(n) AS n, sum(rejected) AS rejected, sum(labelled) AS labelled FROM c{k} GROUP BY host, template, child)",
+            f"q{k} AS (SELECT *, count(*) OVER o AS children, sum(n) OVER o AS an, (sum(rejected) OVER o + 0.5::DOUBLE) / (sum(labelled) OVER o + 1) AS rate, sum(labelled) OVER o AS al FROM p{k} WINDOW o AS (PARTITION BY host, template))",
+            f"s{k} AS (SELECT host, template, child, CASE WHEN child <> '' AND children > 1 AND ((children > {BRANCHES} AND n < {RARE}::DOUBLE * an AND (labelled > 0) = (al > 0)) OR (labelled > 0 AND abs(rejected / greatest(labelled, 1)::DOUBLE - rate) <= {DEVIATIONS}::DOUBLE * sqrt(rate * (1 - rate) / greatest(labelled, 1)))) THEN '{WILD}' ELSE child END AS kept FROM q{k})",
+            f"l{k + 1} AS (SELECT host, segments, n, rejected, labelled, CASE WHEN kept = '' THEN template ELSE list_append(template, kept) END AS template FROM c{k} JOIN s{k} USING (host, template, child))",
+        ]
+    steps += [
+        "pr AS (SELECT (coalesce(sum(rejected), 0) + 1) / (coalesce(sum(labelled), 0) + 2)::DOUBLE AS prior FROM l0)",
+        f"pu AS (SELECT host, template, (sum(rejected) + {PRIOR}::DOUBLE * any_value(prior)) / (sum(labelled) + {PRIOR}::DOUBLE) AS purity FROM l{LEVELS}, pr GROUP BY host, template)",
+    ]
+    return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, x.host AS host, path, rule, '/' || array_to_string(t.template, '/') AS template, coalesce(by_rule, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict\nFROM x JOIN l{LEVELS} t ON t.host = x.host AND t.segments = x.segments JOIN pu ON pu.host = t.host AND pu.template = t.template"
+
+
+OP9_SQL = _oracle()
