@@ -11,15 +11,16 @@ def ratio(top: Column, bottom: Column, empty: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(empty)
 
 
-def prf(df: DataFrame, micro: bool = False, digits: int = 6) -> DataFrame:
+def prf(df: DataFrame, micro: bool | Column = False, digits: int = 6) -> DataFrame:
     """Adds precision, recall, f1 to rows with tp, fp, fn.
 
     Per class an empty precision is 1 without misses, else 0, and an empty recall is 1; `micro`
     rows have 0 for both.
     """
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    p = ratio(tp, tp + fp, F.lit(0.0) if micro else F.when(fn == 0, 1.0).otherwise(0.0))
-    r = ratio(tp, tp + fn, F.lit(0.0 if micro else 1.0))
+    micro = F.lit(micro) if isinstance(micro, bool) else micro
+    p = ratio(tp, tp + fp, F.when(~micro & (fn == 0), 1.0).otherwise(0.0))
+    r = ratio(tp, tp + fn, F.when(micro, 0.0).otherwise(1.0))
     out = df.withColumns({"__p": p.cast("double"), "__r": r.cast("double")})
     f1 = F.when(F.col("__p") + F.col("__r") > 0, 2 * F.col("__p") * F.col("__r") / (F.col("__p") + F.col("__r"))).otherwise(0.0)
     return out.withColumns({"precision": F.round("__p", digits), "recall": F.round("__r", digits), "f1": F.round(f1, digits)}).drop("__p", "__r")
@@ -55,9 +56,10 @@ def summary(per_class: DataFrame, exclude: str | None = None, digits: int = 6) -
 
 
 def with_total(per_class: DataFrame, label: str = "label", total: str = "__micro__") -> DataFrame:
-    """Per-class rows and one micro row of summed counts."""
-    micro = per_class.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))).withColumn(label, F.lit(total))
-    return prf(per_class.select(label, "tp", "fp", "fn")).unionByName(prf(micro, micro=True))
+    """Per-class rows and one micro row of summed counts, in one pass over the classes."""
+    rows = per_class.rollup(label).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), F.grouping(label).alias("__g"))
+    micro = F.col("__g") == 1
+    return prf(rows, micro).select(F.when(micro, total).otherwise(F.col(label)).alias(label), "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def rank_of(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:

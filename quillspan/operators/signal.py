@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,19 +19,6 @@ def windows_of(x: str, size: int, stride: int, batch: int = 1) -> Column:
     return F.transform(index, lambda i: F.slice(x, i * stride + 1, size))
 
 
-def dft_power(x: str, size: int) -> Column:
-    """Power of the one-sided Fourier transform of an array of `size` samples, within one row."""
-    place = F.sequence(F.lit(0), F.lit(size - 1))
-
-    def at(k: Column) -> Column:
-        angle = lambda i: k * i * F.lit(2 * math.pi / size)
-        re = F.aggregate(F.zip_with(x, place, lambda v, i: v * F.cos(angle(i))), F.lit(0.0), lambda a, b: a + b)
-        im = F.aggregate(F.zip_with(x, place, lambda v, i: v * F.sin(angle(i))), F.lit(0.0), lambda a, b: a + b)
-        return re * re + im * im
-
-    return F.transform(F.sequence(F.lit(0), F.lit(size // 2)), at)
-
-
 def total(x: str | Column) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -126,3 +112,11 @@ def kernel(df: DataFrame, key: str, samples: str, f: Callable[[np.ndarray], np.n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["key", "values"])
 
     return df.select(F.col(key).alias("key"), F.col(samples).alias("x")).mapInArrow(run, f"key {kind}, values array<double>").withColumnRenamed("key", key)
+
+
+def power_spectrum(df: DataFrame, key: str, samples: str) -> DataFrame:
+    """(key, p): power of the one-sided Fourier transform of each row's samples.
+
+    A fast transform in Arrow batches: as array expressions the sums over cosines took 50 times as long.
+    """
+    return kernel(df, key, samples, lambda x: np.abs(np.fft.rfft(x)) ** 2).withColumnRenamed("values", "p")

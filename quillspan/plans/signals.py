@@ -42,7 +42,7 @@ DFT_SQL = f"""{SAMPLES_SQL}, k AS (SELECT unnest(range(33)) AS k), dft AS (SELEC
 
 
 def _power(spark, d) -> DataFrame:
-    return _arrays(spark, d).select("recording_id", signal.dft_power("x", SIZE).alias("p"))
+    return signal.power_spectrum(_arrays(spark, d), "recording_id", "x")
 
 
 @query(f"WITH {DFT_SQL} SELECT recording_id, k, round(p, 4) AS power FROM dft")
