@@ -27,10 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds of its input at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the Python workers, once per context, so that they need no shared path."""
+    """Send the package to the Python workers, once per context, so that they need no shared path.
+
+    Also keeps Arrow batches small, so that long texts do not pile up in a worker.
+    """
     context = spark.sparkContext
     if not getattr(context, "_quillspan_shipped", False):
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
         import tempfile
         import zipfile
         from pathlib import Path
