@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.graph import components
 from quillspan.llm.scratch import drop, written
-from quillspan.llm.textbatch import SPACE_WORD, expand, mix, steps, text_buffer, word_bounds, word_hashes
+from quillspan.llm.textbatch import SPACE_WORD, STEP_BYTES, expand, mix, steps, text_buffer, word_bounds, word_hashes
 
 WORDS = 5
 #: 24 bands of 5: a pair at similarity 0.85 meets in no band with chance 8e-7.
@@ -77,6 +77,29 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return made[keep], np.bincount(row[keep], minlength=n)
 
 
+def unpacked_sets(packed: list[bytes]) -> list[np.ndarray]:
+    """Distinct shingles of each compressed text, hashed in steps of about STEP_BYTES of text."""
+    unzip = zstandard.ZstdDecompressor()
+    out: list[np.ndarray] = []
+    held, size = [], 0
+
+    def flush() -> None:
+        if held:
+            sets, sizes = shingles(pa.array(held, pa.large_string()))
+            out.extend(np.split(sets, np.cumsum(sizes)[:-1]))
+            held.clear()
+
+    for z in packed:
+        text = unzip.decompress(z)
+        if size + len(text) > STEP_BYTES:
+            flush()
+            size = 0
+        held.append(text.decode("utf-8", "surrogatepass"))
+        size += len(text)
+    flush()
+    return out
+
+
 def set_keys(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit sums over each row's set; empty sets give 0."""
     bound = np.concatenate(([0], np.cumsum(sizes)))
@@ -203,17 +226,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets satisfy 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 keep = np.zeros(batch.num_rows, bool)
-                sides = []
-                for c in (2, 3):
-                    texts = pa.array([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column(c).to_pylist()], pa.large_string())
-                    sets, sizes = shingles(texts)
-                    sides.append(np.split(sets, np.cumsum(sizes)[:-1]))
-                for i, (x, y) in enumerate(zip(*sides)):
+                for i, (x, y) in enumerate(zip(*(unpacked_sets(batch.column(c).to_pylist()) for c in (2, 3)))):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
@@ -235,12 +252,12 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["key", "z"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets, sizes = shingles(pa.array([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()], pa.large_string()))
-                yield batch.filter(pa.array(set_keys(sets, sizes)[0] == batch.column(0).to_numpy()))
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found = unpacked_sets(batch.column(1).to_pylist())
+                keys, _ = set_keys(np.concatenate(found), np.array([len(x) for x in found]))
+                yield batch.filter(pa.array(keys == batch.column(0).to_numpy()))
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = rows.mapInArrow(zipped, f"key {kind}, z binary").join(wanted.withColumnRenamed(key, "key"), "key")
@@ -287,10 +304,7 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
             pairs = np.concatenate(found, axis=1)
             pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
             used = np.unique(pairs[:2])
-            unzip = zstandard.ZstdDecompressor()
-            texts = table["z"].take(pa.array(used)).to_pylist()
-            sets, sizes = shingles(pa.array([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in texts], pa.large_string()))
-            of = dict(zip(used.tolist(), np.split(sets, np.cumsum(sizes)[:-1])))
+            of = dict(zip(used.tolist(), unpacked_sets(table["z"].take(pa.array(used)).to_pylist())))
             above: dict[int, int] = {}
 
             def top(x: int) -> int:

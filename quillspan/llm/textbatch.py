@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text a numpy step holds at once; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd base of the polynomial word hash and its inverse modulo 2**64.
@@ -69,18 +69,20 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and INVERSE**i for i < n, kept and grown by doubling."""
+    """BASE**i and INVERSE**i for i < n, kept up to about two steps of text."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 19)) * (1 << 19)
         with np.errstate(over="ignore"):
             made = []
             for base in (BASE, INVERSE):
                 out = np.ones(size, np.uint64)
                 have, step = 1, np.uint64(base)
                 while have < size:
-                    out[have : 2 * have] = out[:have] * step
+                    out[have : 2 * have] = out[: min(have, size - have)] * step
                     step, have = step * step, 2 * have
                 made.append(out)
+        if size > 2 * STEP_BYTES:  # a very long text: not kept
+            return made[0][:n], made[1][:n]
         _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]
 
