@@ -11,6 +11,7 @@ again. A block holds about BLOCK pieces whatever the size of the table, so no ta
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,10 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(sizes)
     if k == 1 or n == 0:
         return np.zeros(n, np.int64), np.array([int(sizes.sum())] + [0] * (k - 1), np.int64)
-    sums: list[np.ndarray] = [np.array([s], np.int64) for s in sizes.tolist()]
-    made: list[tuple[int, int, np.ndarray] | None] = [None] * n
-    heap = [(-int(s), i) for i, s in enumerate(sizes.tolist())]
+    # sums are kept negative and ascending, so that the largest comes first
+    sums: list[list[int] | None] = [[-s] for s in sizes.tolist()]
+    made: list[tuple[int, int, int | list[int]] | None] = [None] * n
+    heap = [(-s, i) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
@@ -48,29 +50,41 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         x, y = sums[a], sums[b]
         if len(x) < len(y):
             a, b, x, y = b, a, y, x
-        width = min(k, len(x) + len(y))
-        both = np.zeros(width, np.int64)
-        both[: len(x)] = x
-        both[width - len(y) :] += y[::-1]
-        order = np.argsort(-both, kind="stable")
-        both = both[order]
-        sums[a] = sums[b] = np.zeros(0, np.int64)
-        made.append((a, b, order))
-        sums.append(both)
-        heapq.heappush(heap, (-int(both[0] - (both[-1] if width == k else 0)), len(sums) - 1))
+        sums[a] = sums[b] = None
+        if len(y) == 1:  # the common case: one size goes to an empty or to the least full window
+            total = y[0] + (x.pop() if len(x) == k else 0)
+            at = bisect_right(x, total)
+            x.insert(at, total)
+            made.append((a, b, at))
+        else:
+            width = min(k, len(x) + len(y))
+            x = x + [0] * (width - len(x))
+            for i, v in enumerate(y):
+                x[width - 1 - i] += v
+            order = sorted(range(width), key=x.__getitem__)
+            x = [x[i] for i in order]
+            made.append((a, b, order))
+        sums.append(x)
+        heapq.heappush(heap, (x[0] - (x[-1] if len(x) == k else 0), len(sums) - 1))
     root = heap[0][1]
     window = np.zeros(n, np.int64)
-    todo = [(root, np.arange(len(sums[root])))]
+    todo = [(root, list(range(len(sums[root]))))]
     while todo:
         node, slots = todo.pop()
         if (step := made[node]) is None:
             window[node] = slots[0]
             continue
-        a, b, order = step
-        place = np.empty(len(order), np.int64)
-        place[order] = slots[: len(order)]
-        todo.append((a, place))
-        todo.append((b, place[::-1]))
+        a, b, how = step
+        if isinstance(how, int):
+            own = slots.pop(how)
+            todo.append((b, [own]))
+            todo.append((a, [*slots, own]))  # the last place is the shared window, or one that a has not got
+        else:
+            place = [0] * len(how)
+            for rank, i in enumerate(how):
+                place[i] = slots[rank]
+            todo.append((a, place))
+            todo.append((b, place[::-1]))
     return window, np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
 
 
