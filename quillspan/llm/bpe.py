@@ -163,7 +163,14 @@ class Merger:
         return self.pattern.findall(text.replace("Σ", "σ").lower())
 
     def parts(self, text: str) -> list[str | int]:
-        """Pre-tokens and, as numbers, the special strings of a text in order."""
+        """Pre-tokens and, as numbers, the special strings of a chunk in order."""
+        low = text.lower()
+        if low.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text)):
+            # a word, or a word and one sign after it, needs no pattern
+            if low.isalpha():
+                return [low]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
         if "<|" not in text or not self.split_special:
             return self.pre_tokens(text)
         out: list[str | int] = []
