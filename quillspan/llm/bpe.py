@@ -180,7 +180,7 @@ class Merger:
 
     def learn(self, found: list[list[str]]) -> None:
         """Tokenise the chunks of `found` that are not known yet."""
-        new = list(set().union(*found) - self.known.keys())
+        new = [c for c in set().union(*found) if c not in self.known]
         if len(self.known) + len(new) > self.kept and self.known:
             self.known.clear()
             new = list(set().union(*found))
