@@ -16,6 +16,8 @@ from quillspan.llm.pii import redacted
 from quillspan.llm.scratch import written
 from quillspan.session import ship
 
+#: Jaccard percent of five-word shingles from which the stage takes texts for copies; op1's 85 is that query's own.
+NEAR_PERCENT = 80
 #: A text whose best language is barely ahead of the others' mean is rejected with those of no language.
 LEAST_SCORE = 0.3
 
@@ -29,7 +31,7 @@ def language_stage(spark, docs, sf_dir):
 
 def duplicate_stage(spark, docs, sf_dir):
     """The document with the smallest id of each group of near duplicates."""
-    return deduplicated(docs)
+    return deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_stage(spark, docs, sf_dir):

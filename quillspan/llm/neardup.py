@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from quillspan.llm.scratch import drop, written
 from quillspan.llm.textbatch import SPACE_WORD, STEP_BYTES, expand, mix, steps, text_buffer, word_bounds, word_hashes
 
 WORDS = 5
-#: 24 bands of 5: a pair at similarity 0.85 meets in no band with chance 8e-7.
-BANDS, ROWS = 24, 5
+#: Signature values per band, and the greatest chance that a pair at the threshold meets in no band.
+ROWS, UNMET = 5, 8e-7
 #: Signature values compared per Bayesian step.
 BATCH = 24
 #: Chance, per step, of losing a pair that reaches the threshold.
@@ -48,6 +48,16 @@ BLOCK = 256
 _STEP_SHINGLES = 1 << 15
 
 
+def bands_for(percent: int) -> int:
+    """The fewest bands that leave a pair at the threshold unmet with chance UNMET at most: 24 at 85, 36 at 80."""
+    apart = 1 - (percent / 100) ** ROWS
+    return 1 if apart <= 0 else ceil(log(UNMET) / log(apart))
+
+
+#: Bands at op1's threshold.
+BANDS = bands_for(85)
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, sorted within each row; number of them per row)."""
     buf, off = text_buffer(column)
@@ -111,14 +121,14 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
-    made = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _constants(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    made = mix(np.arange(1, 2 * bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (made[::2] >> np.uint64(32)).astype(np.uint32), (made[1::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Minima of BANDS * ROWS hash functions per row; rows with an empty set get zeros."""
-    masks, factors = _constants()
+def signatures(sets: np.ndarray, sizes: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Minima of bands * ROWS hash functions per row; rows with an empty set get zeros."""
+    masks, factors = _constants(bands)
     k = len(masks)
     out = np.zeros((len(sizes), k), np.uint32)
     rows = np.flatnonzero(sizes)
@@ -164,7 +174,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = MISS
     """Which rows of two signature matrices stay after all Bayesian steps."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), np.int64)
-    for step, least in enumerate(least_matches(threshold, miss)):
+    for step, least in enumerate(least_matches(threshold, miss, BATCH, a.shape[1])):
         cut = slice(step * BATCH, (step + 1) * BATCH)
         matches[alive] += (a[alive, cut] == b[alive, cut]).sum(axis=1)
         alive = alive[matches[alive] >= least]
@@ -178,10 +188,10 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = MISS
 def _matrix(column: pa.Array) -> np.ndarray:
     """Fixed-size binary values as a matrix of 16-bit numbers."""
     buf, off = text_buffer(column.cast(pa.large_binary()))
-    return buf.view(np.uint16).reshape(len(off) - 1, -1) if len(off) > 1 else np.zeros((0, BANDS * ROWS), np.uint16)
+    return buf.view(np.uint16).reshape(len(off) - 1, -1) if len(off) > 1 else np.zeros((0, ROWS), np.uint16)
 
 
-def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS) -> DataFrame:
     """(key, n_shingles, node, guard, sig, bands) per row; all but the first two null for empty sets."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -190,16 +200,16 @@ def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             for part in steps(batch):
                 sets, sizes = shingles(part.column(1))
                 node, guard = set_keys(sets, sizes)
-                sig = signatures(sets, sizes)
+                sig = signatures(sets, sizes, bands)
                 empty = sizes == 0
                 with np.errstate(over="ignore"):
-                    band = np.zeros((len(sizes), BANDS), np.uint64)
+                    band = np.zeros((len(sizes), bands), np.uint64)
                     for j in range(ROWS):
                         band = band * np.uint64(0xD1342543DE82EF95) + sig[:, j::ROWS]
-                    band = mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    band = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 short = np.ascontiguousarray((sig >> 16).astype(np.uint16))
                 sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(short.shape[1] * 2), len(sizes), [None, pa.py_buffer(short)]).cast(pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(band.reshape(-1), pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(band.reshape(-1), pa.int64()))
                 gone = pa.array(empty)
                 null = lambda x: pa.compute.if_else(gone, pa.scalar(None, x.type), x)
                 arrays = [part.column(0), pa.array(sizes, pa.int64()), null(pa.array(node)), null(pa.array(guard)), null(sigs), pa.array([None if e else x for e, x in zip(empty.tolist(), lists.to_pylist())], pa.list_(pa.int64())) if empty.any() else lists]
@@ -286,13 +296,13 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
         node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
         band, i, j = (table[c][0].as_py() for c in ("band", "i", "j"))
         sig = _matrix(table["sig"].combine_chunks())
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         found = []
         for p in left.tolist():
             q = right[(root[right] != root[p]) & ((node[right] > node[p]) | (i != j))]
             q = q[~(bands[q, :band] == bands[p, :band]).any(axis=1)]
-            for step, fewest in enumerate(least_matches(threshold, MISS)):
+            for step, fewest in enumerate(least_matches(threshold, MISS, BATCH, sig.shape[1])):
                 if not len(q):
                     break
                 equal = (sig[q, : (step + 1) * BATCH] == sig[p, : (step + 1) * BATCH]).sum(axis=1)
@@ -333,7 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     the number of rows with the very same set.
     """
     threshold = percent / 100
-    base = written(document_sets(docs, text, key), "sets")
+    base = written(document_sets(docs, text, key, bands_for(percent)), "sets")
     full = base.where(F.col("node").isNotNull())
     classes = written(full.groupBy("node", "guard").agg(F.min(key).alias("rep"), F.count("*").alias("n_class"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     bands = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
