@@ -29,6 +29,8 @@ DIM, GRAMS, LANDMARKS, RIDGE = 1 << 13, (2, 3, 4), 96, 1e-3
 PER_LANGUAGE, BATCH = 400, 64
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+#: The same for Java, whose tables may not know the newest letters yet.
+_MAYBE_LETTER = r"[\p{L}\p{Cn}]"
 #: Bytes of texts after lower-casing: a-z and all beyond ASCII are letters or parts of letters.
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -104,12 +106,14 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", per_label: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most `per_label` distinct texts of each label, those with the smallest hashes of the text.
 
-    A first pass counts the labels; the second lets through the share of the hash range that holds
-    about four times `per_label` texts of a label, whatever the table's size, and merges copies
-    before the shuffle.
+    A first pass counts each label's distinct lettered texts (within some percent; few ones exactly
+    enough to take them all); the second lets through the share of the hash range that holds about
+    four times `per_label` of them, whatever the table's size and its copies, and merges copies
+    before the shuffle. So every label with a lettered text is learned.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    lettered = F.col(text).rlike(_MAYBE_LETTER)
+    rows = docs.where(F.col(label).isNotNull() & lettered).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    counts = {r["label"]: max(1, r["n"]) for r in rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_label / n))))
