@@ -10,19 +10,22 @@ of its own, so a benchmark of any size works, and one below the bound takes a si
 Only documents with a hit are shuffled, to add up passes; a single pass shuffles nothing.
 
 Null and empty texts have no words and no hits; a null or wordless item has no windows; item ids
-are compared as strings; rows with the same document id are judged row by row.
+are compared as strings, null ids are one item without a name; rows with the same document id are
+judged row by row.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import written
 from quillspan.llm.textbatch import ALNUM_WORD, expand, steps, text_buffer, word_bounds, word_hashes
 
 #: Text of one suffix-array shard.
@@ -185,10 +188,10 @@ def longest_matches(texts: list[str | None], items: list[tuple[str, str]], depth
     return out
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in lists of at most `size` bytes of text (one item at least), streamed through the driver."""
     block, held = [], 0
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     for row in rows.toLocalIterator():
         if block and held + len(row.t) > size:
             yield block
@@ -244,7 +247,7 @@ def hits(docs: DataFrame, items: list[tuple[str, str]], width: int = 10, text: s
         names: list[list[str]] = [[] for _ in range(part.num_rows)]
         for p in pair.tolist():
             names[p // len(windows.ids)].append(windows.ids[p % len(windows.ids)])
-        arrays = [part.column(0), pa.array(shard.n_words, pa.int64()), hit, pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))]
+        arrays = [part.column(0), pa.array(shard.n_words, pa.int64()), hit, pa.array([sorted(set(x), key=lambda i: (i is None, i)) for x in names], pa.list_(pa.string()))]
         if spans:
             found_at: list[list[dict]] = [[] for _ in range(part.num_rows)]
             starts = np.repeat(place - first[shard.row[place]], per)
@@ -262,18 +265,21 @@ def hits(docs: DataFrame, items: list[tuple[str, str]], width: int = 10, text: s
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", key: str = "doc_id", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, hit_words, items) of every document against all items.
 
-    One block of items needs no shuffle. With more, each document's rows are joined by key; keys
-    should then be unique.
+    One block of items needs no shuffle. With more, the rows are numbered and written once, and the
+    passes are added up by that number, so repeated and null keys stay rows of their own.
     """
-    passes = [hits(docs, block, width, text, key) for block in item_blocks(benchmark, item, text, block_bytes)]
-    if not passes:
-        passes = [hits(docs, [], width, text, key)]
+    blocks = item_blocks(benchmark, item, text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return hits(docs, first, width, text, key)
+    row = F.struct(F.monotonically_increasing_id().alias("number"), F.col(key).alias("key"))
+    rows = written(docs.select(row.alias("row"), F.col(text).alias("text")), "rows")
+    passes = [hits(rows, block, width, "text", "row") for block in chain((first, second), blocks)]
     out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy(key).agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out
+    for more in passes[1:]:
+        out = out.unionByName(more)
+    out = out.groupBy("row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return out.select(F.col("row.key").alias(key), "n_words", "hit_words", "items")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
