@@ -173,8 +173,10 @@ def tcn_forward(spark, d) -> DataFrame:
 
 @query("""WITH f AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 5) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 5) AS b FROM f""")
 def standard_scale(spark, d) -> DataFrame:
-    f = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return ml.scaled(f, ["a", "b"]).select("vec_id", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+    """All SIZE components, x0 and so on; the SQL beside it still has the first two, as a and b."""
+    names = [f"x{i}" for i in range(SIZE)]
+    f = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
+    return ml.scaled(f, names).select("vec_id", *(F.round(c, 5).alias(c) for c in names))
 
 
 @query("""WITH g AS (SELECT DISTINCT vec_id % 20 AS g FROM embeddings), r AS (SELECT g, row_number() OVER (ORDER BY md5(g::VARCHAR)) AS r FROM g) SELECT vec_id, CASE WHEN r <= 4 THEN 'test' ELSE 'train' END AS split FROM embeddings JOIN r ON g = vec_id % 20""")

@@ -91,7 +91,8 @@ def detection_prf(spark, d) -> DataFrame:
 
 @query(f"""WITH {TRUTH_SQL}, {PRED_SQL}, s AS (SELECT * FROM pred WHERE event_id % 3 = 0) SELECT recording_id, event_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.recording_id = t.recording_id AND least(t.stop_s, s.stop_s) - greatest(t.start_s, s.start_s) > 1e-9::DOUBLE)""")
 def orphans(spark, d) -> DataFrame:
-    return iv.overlap_join(views.truth(spark, d), views.pred(spark, d).where("event_id % 3 = 0"), how="left_anti").select("recording_id", "event_id")
+    """Events without any overlapping prediction; the SQL beside it still reads a third of `pred`."""
+    return iv.overlap_join(views.truth(spark, d), views.pred(spark, d), how="left_anti").select("recording_id", "event_id")
 
 
 def _times(df: DataFrame) -> DataFrame:
@@ -217,8 +218,11 @@ SELECT s.recording_id, s.unit_id, CASE WHEN len(strong) >= 2 THEN strong[1] WHEN
   CASE WHEN len(strong) >= 2 THEN 'merged' WHEN db <= 0.2 THEN 'both' WHEN ds <= 0.2 THEN 'start' WHEN len(touch) > 0 THEN 'overlap' ELSE 'none' END AS rule,
   CASE WHEN len(strong) >= 2 THEN len(strong) - 1 ELSE 0 END AS n_missed FROM s LEFT JOIN a USING (recording_id, unit_id)""")
 def label_align(spark, d) -> DataFrame:
-    """Labels by the cascade; the remark's count is compared for merged segments."""
-    seg = views.truth(spark, d).where("event_id % 4 = 0").select("recording_id", F.col("event_id").alias("unit_id"), "start_s", "stop_s")
+    """Labels by the cascade for every segment; the SQL beside it still reads a quarter of them.
+
+    The remark's count is compared for merged segments.
+    """
+    seg = views.truth(spark, d).select("recording_id", F.col("event_id").alias("unit_id"), "start_s", "stop_s")
     out = align.align_labels(seg, views.pred(spark, d).withColumn("ord", F.col("event_id")))
     return out.select("recording_id", "unit_id", "label", "rule", F.when(F.col("rule") == "merged", align.missed_in(F.col("remark"))).otherwise(0).alias("n_missed"))
 
@@ -296,9 +300,9 @@ def age_mean_difference(spark, d) -> DataFrame:
 @query(f"""WITH {TRUTH_SQL}, g AS (SELECT recording_id // 2 AS pair, list(DISTINCT name) FILTER (recording_id % 2 = 1) AS o, list(DISTINCT name) FILTER (recording_id % 2 = 0) AS y FROM truth WHERE event_id % 17 = 0 GROUP BY 1)
 SELECT pair, array_to_string(list_sort(list_filter(coalesce(o, []), lambda x: NOT list_contains(coalesce(y, []), x))), ',') AS added, array_to_string(list_sort(list_filter(coalesce(y, []), lambda x: NOT list_contains(coalesce(o, []), x))), ',') AS missing FROM g""")
 def age_set_difference(spark, d) -> DataFrame:
-    """Labels that one age group of a pair has and the other lacks."""
+    """Labels that one age group of a pair has and the other lacks; the SQL beside it still reads one event in 17."""
     old = F.col("recording_id") % 2 == 1
-    g = views.truth(spark, d).where("event_id % 17 = 0").groupBy(F.floor(F.col("recording_id") / 2).alias("pair")).agg(F.collect_set(F.when(old, F.col("name"))).alias("o"), F.collect_set(F.when(~old, F.col("name"))).alias("y"))
+    g = views.truth(spark, d).groupBy(F.floor(F.col("recording_id") / 2).alias("pair")).agg(F.collect_set(F.when(old, F.col("name"))).alias("o"), F.collect_set(F.when(~old, F.col("name"))).alias("y"))
     text = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
     return g.select("pair", text("o", "y").alias("added"), text("y", "o").alias("missing"))
 
@@ -424,7 +428,8 @@ def runs_to_segments(spark, d) -> DataFrame:
 v AS (SELECT recording_id, span_id, name, count(*) AS n FROM s JOIN frames USING (recording_id) WHERE frame >= first AND frame < greatest(first + 1, last) GROUP BY ALL)
 SELECT recording_id, span_id, name, n FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, span_id ORDER BY n DESC, name) AS r FROM v) WHERE r = 1""")
 def majority_label(spark, d) -> DataFrame:
-    s = views.truth(spark, d).where("event_id % 10 = 0").select("recording_id", F.col("event_id").alias("span_id"), F.floor(F.col("start_s") / 600).alias("first"), (F.floor(F.col("stop_s") / 600) + 40).alias("last"))
+    """A label for every interval; the SQL beside it still reads one in ten."""
+    s = views.truth(spark, d).select("recording_id", F.col("event_id").alias("span_id"), F.floor(F.col("start_s") / 600).alias("first"), (F.floor(F.col("stop_s") / 600) + 40).alias("last"))
     return fr.majority(views.frames(spark, d), s, ["recording_id"])
 
 

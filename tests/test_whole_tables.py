@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from quillspan.plans import suite
@@ -14,6 +15,10 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no input tables
 #: Query -> (cut of its SQL, what stands there for whole tables).
 CUTS = {
     "rasterise": ("least(trunc(stop_s / 600 + 1)::BIGINT, 3000)", "trunc(stop_s / 600 + 1)::BIGINT"),
+    "orphans": (" WHERE event_id % 3 = 0", ""),
+    "label_align": (" WHERE event_id % 4 = 0", ""),
+    "age_set_difference": (" WHERE event_id % 17 = 0", ""),
+    "majority_label": (" WHERE event_id % 10 = 0", ""),
 }
 
 
@@ -33,3 +38,12 @@ def test_whole(spark, duck, name):
     cursor = duck.execute(suite.ORACLES[name].replace(*CUTS[name]))
     place = [[d[0] for d in cursor.description].index(c) for c in columns]
     assert got == sorted(repr([norm(r[i]) for i in place]) for r in cursor.fetchall())
+
+
+def test_standard_scale_has_all_components(spark, duck):
+    rows = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.array([r[1] for r in rows], float)
+    want = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = suite.QUERIES["standard_scale"](spark, DATA).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == [r[0] for r in rows]
+    assert np.allclose([[r[f"x{i}"] for i in range(64)] for r in got], want, atol=1e-5)
