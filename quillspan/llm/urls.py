@@ -6,7 +6,7 @@ node with many children of few rows each the rare children become one wildcard,
 whose labelled rejection rate does not differ significantly from that of all labelled children of
 the node are merged into it. Each level is written before the next reads it. The templates left are rejected where the smoothed share of
 rejected labels reaches `reject`. Labels are the verdicts of the rules; an unlabelled branch is
-never merged with labelled ones, so it keeps the prior and stays.
+never merged with labelled ones and stays, whatever the table's share of rejected labels is.
 
 A null url or one without `://` has an empty host and path and is judged like any other host.
 """
@@ -93,10 +93,10 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", levels: int = LEVELS
     tree = templates(paths, levels)
     prior = paths.agg(((F.coalesce(F.sum("rejected"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("prior"))
     purity = tree.groupBy("host", "template").agg(F.sum("rejected").alias("r"), F.sum("labelled").alias("l")).join(F.broadcast(prior))
-    purity = purity.select("host", "template", ((F.col("r") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)).alias("purity"))
-    known = tree.join(purity, ["host", "template"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    purity = purity.select("host", "template", "l", ((F.col("r") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)).alias("purity"))
+    known = tree.join(purity, ["host", "template"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "l", "purity")
     out = rows.join(known, ["host", "segments"], "left")
-    by_tree = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    by_tree = F.when((F.col("l") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return out.select(*own, "host", "path", "rule", "template", F.coalesce("by_rule", by_tree).alias("verdict"))
 
 
