@@ -42,6 +42,14 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.join(sizes.select(group, fold.alias("fold")), group)
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
+    """Adds `fold`: the rows of each class dealt round over the folds by hash of the key; a class of fewer rows than folds is an error."""
+    w = Window.partitionBy(label)
+    rows = df.withColumns({"__r": F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key)), "__n": F.count("*").over(w)})
+    fold = F.when(F.col("__n") < k, F.raise_error(F.lit("a class has fewer rows than folds")).cast("int")).otherwise(((F.col("__r") - 1) % k).cast("int"))
+    return rows.withColumn("fold", fold).drop("__r", "__n")
+
+
 def nearest_neighbours(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
     """(query, neighbour, distance): the k rows nearest each stated query, itself left out.
 
@@ -96,14 +104,17 @@ def models() -> dict:
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 
     return {
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=20), labelCol="label", featuresCol="features"),
-        "random_forest": RandomForestClassifier(numTrees=20, seed=42, labelCol="label", featuresCol="features"),
-        "logistic_regression": LogisticRegression(maxIter=50, labelCol="label", featuresCol="features"),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=1000), labelCol="label", featuresCol="features"),
+        "random_forest": RandomForestClassifier(numTrees=200, seed=42, labelCol="label", featuresCol="features"),
+        "logistic_regression": LogisticRegression(maxIter=1000, labelCol="label", featuresCol="features"),
     }
 
 
-def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("logistic_regression",)) -> DataFrame:
-    """(model, mean_accuracy, std_accuracy, mean_f1, std_f1) over the `fold` column; deviations are of the population."""
+def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("linear_svm", "random_forest", "logistic_regression")) -> DataFrame:
+    """(model, mean_accuracy, std_accuracy, mean_f1, std_f1, best) over the `fold` column; deviations are of the population.
+
+    `best` marks the largest mean macro F1, of equal ones the first in `names`.
+    """
     from quillspan.operators.metrics import confusion, from_confusion, prf, summary
 
     rows = None
@@ -113,4 +124,7 @@ def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("logist
             told = fitted.transform(df.where(F.col("fold") == fold)).select(F.col("label").cast("int").cast("string").alias("t"), F.col("prediction").cast("int").cast("string").alias("p"))
             one = summary(prf(from_confusion(confusion(told)))).select(F.lit(name).alias("model"), "accuracy", "macro_f1")
             rows = one if rows is None else rows.union(one)
-    return rows.groupBy("model").agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("std_f1"))
+    out = rows.groupBy("model").agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("std_f1"))
+    place = F.array_position(F.lit(list(names)), F.col("model"))
+    first = F.row_number().over(Window.orderBy(F.desc("mean_f1"), place))  # a row per model
+    return out.withColumn("best", first == 1)
