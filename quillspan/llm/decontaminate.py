@@ -1,12 +1,16 @@
 """Benchmark decontamination by suffix arrays over the training words.
 
 Every step of about SHARD_BYTES of text is a shard: its words, as 64-bit hashes, are ranked and a
-suffix array is built by prefix doubling, to the depth the longest test window needs. Every test
-suffix is then found by binary search, all at once; the range it hits holds all its verbatim
-places. Windows are short-item words or `width` consecutive words of an item.
+suffix array is built by prefix doubling, `width` words deep. Every test suffix of `width` words or
+more is binary-searched by its first `width` words, an item of fewer words as a whole, all at once;
+the range found holds all places. Hits that go on along item and document are one match, from the
+first word of the first to the last word of the last: so each test suffix has its longest verbatim
+match at every place, with its location. Shorter suffixes and matches below `width` words decide
+nothing and are not looked for.
 
 Benchmark items reach the executors in blocks of a checked size: each block is broadcast in a pass
-of its own, so a benchmark of any size works, and one below the bound takes a single pass.
+of its own, so a benchmark of any size works, and one below the bound takes a single pass. With
+more, blocks come through the driver one by one and each pass is written before the next begins.
 Only documents with a hit are shuffled, to add up passes; a single pass shuffles nothing.
 
 Null and empty texts have no words and no hits; a null or wordless item has no windows; item ids
@@ -29,8 +33,8 @@ from quillspan.llm.scratch import written
 from quillspan.llm.textbatch import ALNUM_WORD, expand, steps, text_buffer, word_bounds, word_hashes
 
 #: Text of one suffix-array shard.
-SHARD_BYTES = 6 << 20
-#: Text bytes of benchmark items that one broadcast may hold.
+SHARD_BYTES = 2 << 20
+#: Bytes of benchmark items that one broadcast may hold; a longer item is a block of its own.
 BLOCK_BYTES = 8 << 20
 
 
@@ -47,6 +51,7 @@ class Windows:
         self.width, self.words = width, hashes
         n_windows = np.where(count == 0, 0, np.maximum(count - width + 1, 1))
         first = np.cumsum(count) - count
+        self.item_start = first
         self.start = expand(first, n_windows)
         self.item = np.repeat(np.arange(len(items)), n_windows)
         self.item_end = np.repeat(first + count, n_windows)
@@ -155,115 +160,98 @@ class Shard:
         return (state < 0) | ((state == 0) & bool(equal))
 
 
-def longest_matches(texts: list[str | None], items: list[tuple[str, str]], depth: int = 64) -> list[tuple[str, int, int, int, int]]:
-    """(item, item word, row, row word, length): the longest verbatim match of every test suffix in a shard.
-
-    The first place in row order is given; suffixes without a common word give no row. Lengths
-    beyond `depth` words are counted on by comparing word by word.
-    """
-    windows = Windows(items, 1)
-    shard = Shard(pa.array(texts, pa.string()), depth)
-    out = []
-    first = np.cumsum(shard.n_words) - shard.n_words
-    for k in range(len(windows.start)):
-        at, end = int(windows.start[k]), int(windows.item_end[k])
-        size, low, high = 0, 0, len(shard.sa)
-        for width in range(1, end - at + 1):
-            if width > depth:
-                break
-            a, b = shard.find(windows.words[at : at + width][None, :], np.array([width]))
-            if a[0] >= b[0]:
-                break
-            size, low, high = width, int(a[0]), int(b[0])
-        if not size:
-            continue
-        best = (0, 0)
-        for place in sorted(shard.sa[low:high].tolist()):
-            n = size
-            while at + n < end and place + n < shard.row_end[place] and shard.words[place + n] == windows.words[at + n]:
-                n += 1
-            best = max(best, (n, -place))
-        row = int(shard.row[-best[1]])
-        out.append((windows.ids[windows.item[k]], at - int(windows.start[windows.item == windows.item[k]][0]), row, -best[1] - int(first[row]), best[0]))
-    return out
-
-
 def item_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in lists of at most `size` bytes of text (one item at least), streamed through the driver."""
     block, held = [], 0
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"), F.octet_length(text).alias("n"))
     for row in rows.toLocalIterator():
-        if block and held + len(row.t) > size:
+        if block and held + row.n > size:
             yield block
             block, held = [], 0
         block.append((row.i, row.t))
-        held += len(row.t)
+        held += row.n
     if block:
         yield block
 
 
-def hits(docs: DataFrame, items: list[tuple[str, str]], width: int = 10, text: str = "text", key: str = "doc_id", spans: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document against one block of items.
+_MATCH = "struct<item:string,item_word:long,word:long,length:long>"
 
-    (key, n_words, hit_words array<long> of word positions, items array<string>), and with `spans`
-    also places array<struct<item, start, length>>: where each window's words stand.
+
+class Found:
+    """All places of a block's windows in one shard."""
+
+    def __init__(self, texts: pa.Array, windows: Windows, only: np.ndarray):
+        self.windows, self.shard = windows, Shard(texts, windows.width, only)
+        self.length = windows.grid[:, windows.width].astype(np.int64)
+        low, high = self.shard.find(windows.grid[:, : windows.width], self.length)
+        found = np.flatnonzero(high > low)
+        n = high[found] - low[found]
+        self.place, self.window = self.shard.sa[expand(low[found], n)], np.repeat(found, n)
+
+    def matches(self) -> tuple[np.ndarray, ...]:
+        """(row, item number, word of the item, word of the row, words) of every maximal match, by row and place."""
+        w, at = self.windows, self.windows.window_at
+        per = at[self.window + 1] - at[self.window]
+        suffix = w.by_window[expand(at[self.window], per)]
+        item, here, there = w.item[suffix], w.start[suffix], np.repeat(self.place, per)
+        order = np.lexsort((there, there - here, item))
+        item, here, there = item[order], here[order], there[order]
+        size, row = np.repeat(self.length[self.window], per)[order], self.shard.row[there]
+        new = np.ones(len(order), bool)
+        new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (there[1:] != there[:-1] + 1) | (here[1:] != here[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order))[: len(first)] - 1
+        words = there[last] - there[first] + size[last]
+        begin = np.cumsum(self.shard.n_words) - self.shard.n_words
+        out = row[first], item[first], here[first] - w.item_start[item[first]], there[first] - begin[row[first]], words
+        by = np.lexsort((out[2], out[1], out[3], out[0]))
+        return tuple(x[by] for x in out)
+
+
+def _windows(items: list[tuple[str | None, str]], width: int) -> tuple[Windows, np.ndarray]:
+    made = Windows(items, width)
+    return made, np.unique(made.words)
+
+
+def hits(docs: DataFrame, items, width: int = 10, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per document against one block of items (a list, or the broadcast of one).
+
+    (key, n_words, hit_words array<long> of word positions, items array<string>, matches), the last
+    an array of (item, item_word, word, length): every maximal verbatim match of `width` words or
+    more, or of a whole shorter item.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    built: list[tuple[Windows, np.ndarray]] = []
+    shared = docs.sparkSession.sparkContext.broadcast(items) if isinstance(items, list) else items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            made = Windows(shared.value, width)
-            built.append((made, np.unique(made.words)))
-        windows, only = built[0]
-        length = windows.grid[:, width].astype(np.int64)
+        windows, only = _windows(shared.value, width)
         for batch in batches:
             for part in steps(batch, size=shard_bytes):
-                yield one(part, windows, only, length)
+                yield one(part, Found(part.column(1), windows, only))
 
-    def one(part: pa.RecordBatch, windows: Windows, only: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        shard = Shard(part.column(1), width, only)
-        low, high = shard.find(windows.grid[:, :width], length)
-        found = np.flatnonzero(high > low)
-        n = high[found] - low[found]
-        place = shard.sa[expand(low[found], n)]
-        window = np.repeat(found, n)
-        # words inside any occurrence
+    def one(part: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+        shard, names = found.shard, found.windows.ids
         cover = np.zeros(len(shard.words) + 1, np.int64)
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + length[window], -1)
+        np.add.at(cover, found.place, 1)
+        np.add.at(cover, found.place + found.length[found.window], -1)
         word = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
         row = shard.row[word]
         first = np.cumsum(shard.n_words) - shard.n_words
-        count = np.bincount(row, minlength=part.num_rows)
-        hit = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(word - first[row], pa.int64()))
-        # items of each document
-        at = windows.window_at
-        per = at[window + 1] - at[window]
-        item = windows.item[windows.by_window[expand(at[window], per)]]
-        of = np.repeat(shard.row[place], per)
-        pair = np.unique(of * len(windows.ids) + item) if len(item) else np.zeros(0, np.int64)
-        names: list[list[str]] = [[] for _ in range(part.num_rows)]
-        for p in pair.tolist():
-            names[p // len(windows.ids)].append(windows.ids[p % len(windows.ids)])
-        arrays = [part.column(0), pa.array(shard.n_words, pa.int64()), hit, pa.array([sorted(set(x), key=lambda i: (i is None, i)) for x in names], pa.list_(pa.string()))]
-        if spans:
-            found_at: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            starts = np.repeat(place - first[shard.row[place]], per)
-            sizes = np.repeat(length[window], per)
-            for r, i, s, z in sorted(zip(of.tolist(), item.tolist(), starts.tolist(), sizes.tolist()), key=lambda x: (x[0], x[2], x[1])):
-                found_at[r].append({"item": windows.ids[i], "start": s, "length": z})
-            arrays.append(pa.array(found_at, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))))
-        return pa.RecordBatch.from_arrays(arrays, names=["key", "n_words", "hit_words", "items", "places"][: len(arrays)])
-
-    schema = f"key {kind}, n_words long, hit_words array<long>, items array<string>" + ", places array<struct<item:string,start:long,length:long>>" * spans
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+        lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=part.num_rows)))), pa.int32()), values)
+        of, item, item_word, at, words = found.matches()
+        held: list[set] = [set() for _ in range(part.num_rows)]
+        for r, i in zip(of.tolist(), item.tolist()):
+            held[r].add(names[i])
+        spans = pa.StructArray.from_arrays([pa.array([names[i] for i in item.tolist()], pa.string()), *(pa.array(x, pa.int64()) for x in (item_word, at, words))], ["item", "item_word", "word", "length"])
+        arrays = [part.column(0), pa.array(shard.n_words, pa.int64()), lists(row, pa.array(word - first[row], pa.int64())), pa.array([sorted(x, key=lambda i: (i is None, i)) for x in held], pa.list_(pa.string())), lists(of, spans)]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "n_words", "hit_words", "items", "matches"])
+
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_words long, hit_words array<long>, items array<string>, matches array<{_MATCH}>")
     return out.withColumnRenamed("key", key)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", key: str = "doc_id", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, n_words, hit_words, items) of every document against all items.
+    """(key, n_words, hit_words, items, matches) of every document against all items.
 
     One block of items needs no shuffle. With more, the rows are numbered and written once, and the
     passes are added up by that number, so repeated and null keys stay rows of their own.
@@ -274,37 +262,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         return hits(docs, first, width, text, key)
     row = F.struct(F.monotonically_increasing_id().alias("number"), F.col(key).alias("key"))
     rows = written(docs.select(row.alias("row"), F.col(text).alias("text")), "rows")
-    passes = [hits(rows, block, width, "text", "row") for block in chain((first, second), blocks)]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    out = out.groupBy("row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select(F.col("row.key").alias(key), "n_words", "hit_words", "items")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item."""
-    blocks = list(item_blocks(benchmark, "item_id", "text", BLOCK_BYTES))
-    for items in blocks:
-        docs = _without(docs, items, width)
+    out = None
+    for block in chain((first, second), blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        one = hits(rows, shared, width, "text", "row")
+        one = written(one if out is None else one.where(F.size("hit_words") > 0), "pass")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    every = lambda c: F.flatten(F.collect_list(c))
+    out = out.groupBy("row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(every("hit_words"))).alias("hit_words"), F.array_sort(F.array_distinct(every("items"))).alias("items"), every("matches").alias("matches"))
+    place = F.transform("matches", lambda m: F.struct(m["word"].alias("w"), m.alias("m")))
+    return out.select(F.col("row.key").alias(key), "n_words", "hit_words", "items", F.transform(F.array_sort(place), lambda x: x["m"]).alias("matches"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that hold no window of any item; every row is judged by its own text."""
+    blocks = item_blocks(benchmark, "item_id", "text", block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs, block = _without(docs, shared, width), next(blocks, None)
+        if block is not None:  # one block of items at a time on the driver
+            docs = written(docs, "clean")
+            shared.destroy()
     return docs
 
 
-def _without(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
+def _without(docs: DataFrame, shared, width: int) -> DataFrame:
     """One pass over whole rows: those with a hit are left out where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, width)
-        only, length = np.unique(windows.words), windows.grid[:, width].astype(np.int64)
+        windows, only = _windows(shared.value, width)
         for batch in batches:
             for part in steps(batch, size=SHARD_BYTES):
-                shard = Shard(part.column(part.schema.get_field_index("text")), width, only)
-                low, high = shard.find(windows.grid[:, :width], length)
-                found = np.flatnonzero(high > low)
-                bad = np.unique(shard.row[shard.sa[expand(low[found], high[found] - low[found])]])
+                found = Found(part.column(part.schema.get_field_index("text")), windows, only)
                 keep = np.ones(part.num_rows, bool)
-                keep[bad] = False
+                keep[found.shard.row[found.place]] = False
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
@@ -320,25 +313,29 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hit_words") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
     )
 
 
-#: The same rows in DuckDB: word lists, all windows of documents and items, joined on the window.
+#: The same rows in DuckDB: word lists, all windows of documents and items, joined on the window; matches are runs of hits.
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), i AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT row_number() OVER () AS nr, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), iw AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[k + 1 : k + least(10, len(w))], ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)
+  SELECT nr, item_id, k AS p, least(10, len(w)) AS l, array_to_string(w[k + 1 : k + least(10, len(w))], ' ') AS win
+  FROM (SELECT nr, item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)
 ), ls AS (SELECT DISTINCT l FROM iw), dw AS (
   SELECT doc_id, k, l, array_to_string(w[k + 1 : k + l], ' ') AS win
   FROM (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS k FROM d, ls WHERE len(w) >= l)
-), h AS (SELECT doc_id, k, dw.l, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.l = iw.l),
+), h AS (SELECT doc_id, k, dw.l, nr, p, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.l = iw.l),
 hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + l)) AS p FROM h) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, nr, l, k - p AS diagonal, k - row_number() OVER (PARTITION BY doc_id, nr, k - p ORDER BY k) AS run FROM h),
+m AS (SELECT doc_id, count(*) AS n_matches, max(n) AS longest FROM (SELECT doc_id, count(*) + any_value(l) - 1 AS n FROM g GROUP BY doc_id, nr, diagonal, run) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id) LEFT JOIN m USING (doc_id)
 """

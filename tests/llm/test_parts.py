@@ -18,23 +18,43 @@ def test_suffix_array_orders_suffixes():
     assert keys == sorted(keys) and sorted(sa.tolist()) == list(range(300))
 
 
-def test_longest_matches():
-    out = decontaminate.longest_matches(["a b c d e f", "x y c d e z"], [("q", "k c d e f")], depth=2)
-    assert ("q", 1, 0, 2, 4) in out and ("q", 0, 0, 0, 0) not in out
-
-
-def test_spans_of_windows(spark):
-    docs = spark.createDataFrame([(1, "p q r s t"), (2, "p q")], "doc_id long, text string")
-    got = {r["doc_id"]: [(p["item"], p["start"], p["length"]) for p in r["places"]] for r in decontaminate.hits(docs, [("i", "q r s"), ("j", "p q")], 3, spans=True).collect()}
-    assert got == {1: [("j", 0, 2), ("i", 1, 3)], 2: [("j", 0, 2)]}
+def test_longest_matches_with_places(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f b c d"), (2, "x y c d e z p q"), (3, "p q"), (4, None)], "doc_id long, text string")
+    items = [("k", "k c d e f"), ("m", "b c d"), ("s", "p q")]
+    got = {r["doc_id"]: {tuple(m) for m in r["matches"]} for r in decontaminate.hits(docs, items, 3).collect()}
+    assert got == {1: {("k", 1, 2, 4), ("m", 0, 1, 3), ("m", 0, 6, 3)}, 2: {("k", 1, 2, 3), ("s", 0, 6, 2)}, 3: {("s", 0, 0, 2)}, 4: set()}
+
+
+def test_matches_are_the_longest_at_every_place(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted(map(tuple, r["matches"])) for r in decontaminate.hits(docs, items, 4).collect()}
+    for i, t in enumerate(texts):
+        words, want = t.split(), []
+        for name, x in items:
+            x = x.split()
+            for p in range(len(x)):
+                for q in range(len(words)):
+                    if p and q and x[p - 1] == words[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(x) and q + n < len(words) and x[p + n] == words[q + n]:
+                        n += 1
+                    if n >= min(4, len(x)):
+                        want.append((name, p, q, n))
+        assert got[i] == sorted(want)
 
 
 def test_blocks_of_items_agree(spark, tables):
     docs, items = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
-    unique = docs.where("doc_id is not null and doc_id <> 90300")
-    one = decontaminate.contamination(unique, items)
-    many = decontaminate.contamination(unique, items, block_bytes=3000)
-    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    one = decontaminate.contamination(docs, items)
+    many = decontaminate.contamination(docs, items, block_bytes=3000)
+    plain = lambda rows: sorted(str((*r[:4], sorted(map(str, r["matches"])))) for r in rows)
+    assert plain(one.collect()) == plain(many.collect())
+    clean = lambda size: sorted(map(str, decontaminate.decontaminated(docs, items, block_bytes=size).collect()))
+    assert clean(3000) == clean(1 << 20) and 0 < len(clean(3000)) < docs.count()
 
 
 def test_differencing_is_a_balanced_partition():
