@@ -87,17 +87,15 @@ def test_op2(spark, tables, docs):
             assert "secret:" in r["spans"]
 
 
-def test_op3(spark, tables, docs):
+def learned(pairs):
+    """Word counts, byte contexts of orders 0 to 4, and a function for a text's log10 probability."""
     counts, contexts = collections.Counter(), [collections.defaultdict(collections.Counter) for _ in range(5)]
-    for i, t in zip(docs["doc_id"], docs["text"]):
-        if crc(None if i is pd.NA else i, 7):
-            continue
+    for t in pairs:
         counts.update([*WORD.findall((t or "").translate(FOLD)), None])
         b = b"\0\0\0\0" + (t or "").encode() + b"\xff"
         for p in range(4, len(b)):
             for o in range(5):
                 contexts[o][b[p - o : p]][b[p]] += 1
-    total, kinds = sum(counts.values()), len(counts)
 
     def ppm(t):
         b, out = b"\0\0\0\0" + t.encode() + b"\xff", 0.0
@@ -116,6 +114,13 @@ def test_op3(spark, tables, docs):
             out += math.log10(chance)
         return out
 
+    return counts, ppm
+
+
+def test_op3(spark, tables, docs):
+    ids = [None if i is pd.NA else i for i in docs["doc_id"]]
+    counts, ppm = learned([t for i, t in zip(ids, docs["text"]) if not crc(i, 7)])
+    total, kinds = sum(counts.values()), len(counts)
     texts = text_of(docs)
     for r in rows(spark, tables, 3):
         if r["doc_id"] is None or (r["doc_id"] % 11 and r["doc_id"] < 90000) or len(texts[r["doc_id"]] or "") > 50_000:
@@ -127,6 +132,23 @@ def test_op3(spark, tables, docs):
         assert r["score"] == pytest.approx(ppm(t))
 
 
+@pytest.mark.parametrize("fan, hot, row_bytes", [(64, 1 << 20, 1 << 20), (2, 0, 64), (3, 20, 1 << 20)])
+def test_op3_levels_and_divided_contexts(spark, fan, hot, row_bytes):
+    from quillspan.llm import ppm
+
+    texts = [" ".join(f"w{(i * k) % 17}" for k in range(i % 23)) for i in range(60)] + ["same text"] * 30 + [None, "", "aé\x00b"]
+    data = [(None if i % 9 == 4 else i % 50, t) for i, t in enumerate(texts)]
+    counts, score = learned([t for i, t in data if not crc(i, 7)])
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.scored(docs, block_bytes=400, fan=fan, hot=hot, row_bytes=row_bytes).collect())
+    total, kinds, want = sum(counts.values()), len(counts), []
+    for i, t in data:
+        w = [*WORD.findall((t or "").translate(FOLD)), None]
+        want.append((str(i), len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w), 6), round(score(t or ""), 6)))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert [g[3:] for g in got] == [pytest.approx(w[3:], abs=2e-6) for w in sorted(want)]
+
+
 def test_op4(spark, tables, docs):
     got, texts = rows(spark, tables, 4), text_of(docs)
     assert len(got) == len(docs)
