@@ -1,7 +1,7 @@
 """Sharding by sampled splitters: size-weighted key samples, quantile boundaries, range partition.
 
-Records are ordered by (text hash, key hash), so equal texts stand together and a hot text can still
-be cut between its records. A size-weighted sample of the keys gives splitters for many more
+Records are ordered by (text hash, key hash, row), so equal texts stand together and a hot text, or
+rows repeated very often, can still be cut between records. A size-weighted sample of the keys gives splitters for many more
 ranges than shards; ranges that hold too many bytes are sampled again and subdivided until none
 does. Ranges are small enough for one task each, and a running sum in each, on top of the bytes of
 the ranges before it, places every record: shard sizes differ by a record at most.
@@ -27,29 +27,39 @@ RANGES, RECORDS = 32, 200_000
 SAMPLE = 16
 
 
-def splitters(sample: list[tuple[int, int, float]], n: int) -> list[tuple[int, int]]:
-    """At most n - 1 boundaries that cut the weight of (k, tie, weight) samples into equal parts."""
+def splitters(sample: list[tuple], n: int) -> list[tuple]:
+    """At most n - 1 boundaries that cut the weight of (k, tie, row, weight) samples into equal parts."""
     if n < 2 or not sample:
         return []
     sample = sorted(sample)
     weight = np.cumsum([w for *_, w in sample])
     at = np.searchsorted(weight, weight[-1] * np.arange(1, n) / n)
-    return sorted({sample[i][:2] for i in at.tolist()})
+    return sorted({sample[i][:-1] for i in at.tolist()})
 
 
-def with_range(keyed: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """`keyed` (k, tie, ...) with the number of boundaries at or below each record as `range`."""
-    k, tie = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
-    shared = keyed.sparkSession.sparkContext.broadcast((k, tie))
+def _at_or_below(bounds: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """For each row of `keys` (columns of equal length) the number of rows of the sorted `bounds` at or below it."""
+    low = np.searchsorted(bounds[0], keys[0], "left")
+    high = np.searchsorted(bounds[0], keys[0], "right")
+    if len(bounds) == 1:
+        return high
+    same = np.flatnonzero(high > low)
+    for a in np.unique(low[same]).tolist():  # the rows that share their first value with a boundary, value by value
+        rows = same[low[same] == a]
+        b = int(high[rows[0]])
+        low[rows] = a + _at_or_below([x[a:b] for x in bounds[1:]], [x[rows] for x in keys[1:]])
+    return low
+
+
+def with_range(keyed: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """`keyed` (k, tie, row, ...) with the number of boundaries at or below each record as `range`."""
+    shared = keyed.sparkSession.sparkContext.broadcast([np.array([b[i] for b in bounds], np.int64) for i in range(3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ties = shared.value
         for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "tie"))
-            low, high = np.searchsorted(ks, a, "left"), np.searchsorted(ks, a, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                low[i] += np.searchsorted(ties[low[i] : high[i]], b[i], "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low.astype(np.int64))], names=[*batch.schema.names, "range"])
+            own = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "tie", "row")]
+            place = _at_or_below(shared.value, own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int64))], names=[*batch.schema.names, "range"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
     return keyed.mapInArrow(run, f"{fields}, range long")
@@ -60,12 +70,12 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _sample(keyed: DataFrame, per_byte) -> list[tuple[int, int, float]]:
+def _sample(keyed: DataFrame, per_byte) -> list[tuple]:
     """Size-weighted Poisson sample: a record is drawn with chance min(1, size * per_byte), by a hash of its key."""
     chance = F.least(F.lit(1.0), F.col("size") * per_byte)
-    draw = F.shiftrightunsigned(F.xxhash64("k", "tie", F.lit(17)), 11) / float(1 << 53)
-    rows = keyed.where(draw < chance).select("k", "tie", (F.col("size") / chance).alias("w"))
-    return [(r.k, r.tie, r.w) for r in rows.toLocalIterator()]
+    draw = F.shiftrightunsigned(F.xxhash64("k", "tie", "row", F.lit(17)), 11) / float(1 << 53)
+    rows = keyed.where(draw < chance).select("k", "tie", "row", (F.col("size") / chance).alias("w"))
+    return [(r.k, r.tie, r.row, r.w) for r in rows.toLocalIterator()]
 
 
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id", ranges: int = RANGES, records: int = RECORDS) -> DataFrame:
@@ -76,15 +86,15 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "do
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), _number(body).alias("k"), _number(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("tie"))
-    keyed = written(keyed, "keys")
+    keyed = written(keyed.withColumn("row", F.monotonically_increasing_id()), "keys")
     whole = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, total = whole["n"], max(1, whole["bytes"])
     count = max(ranges * shards, -(-n // records))
     bounds = splitters(_sample(keyed, count * SAMPLE / total), count)
     ranged = with_range(keyed, bounds)
     while True:
-        held = {r["range"]: (r["bytes"], r["n"], r["keys"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min(F.struct("k", "tie")) != F.max(F.struct("k", "tie"))).alias("keys")).toLocalIterator()}
-        full = [r for r, (b, rows, keys) in held.items() if keys and (b > 4 * total / count or rows > 4 * records)]
+        held = {r["range"]: (r["bytes"], r["n"], r["many"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.count("*") > 1).alias("many")).toLocalIterator()}
+        full = [r for r, (b, rows, many) in held.items() if many and (b > 4 * total / count or rows > 4 * records)]
         parts = splitters(_sample(ranged.where(F.col("range").isin(full)), count * SAMPLE / total * 4), 4 * len(full)) if full else []
         more = sorted({*bounds, *parts})
         if len(more) == len(bounds):
@@ -96,7 +106,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "do
         offsets.append((r, at, rows))
         at, rows = at + held[r][0], rows + held[r][1]
     before = docs.sparkSession.createDataFrame(offsets, "range long, bytes_before long, rows_before long")
-    window = Window.partitionBy("range").orderBy("k", "tie", "size", "text_crc32")
+    window = Window.partitionBy("range").orderBy("k", "tie", "size", "text_crc32", "row")
     placed = ranged.withColumn("upto", F.sum("size").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(window))
     placed = placed.join(F.broadcast(before), "range")
     middle = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")
