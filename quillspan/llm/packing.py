@@ -2,7 +2,7 @@
 
 A document longer than a window is cut into full windows and a rest, and the rest at multiples of
 GRAIN, since many middling pieces balance better than few large ones. Pieces are dealt into blocks
-by hash; in each block k = ceil(sum / capacity) partial partitions are
+by a hash of their values, repeated ones by their row numbers; in each block k = ceil(sum / capacity) partial partitions are
 merged, the two with the largest spread first and with opposing imbalances, until one is left:
 k near-equal windows. Where the fullest exceeds the capacity, k rises and the block is dealt
 again. A block holds about BLOCK pieces whatever the size of the table, so no task grows.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.bpe import VOCABULARY, merger
+from quillspan.llm.scratch import written
 from quillspan.llm.textbatch import steps
 
 #: Expected documents of a block; the number of blocks follows the number of documents.
@@ -131,11 +132,16 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096, key: str = "doc_i
     """`pieces` (key, start, length, ...) with sequence_id and offset.
 
     All columns of `pieces` stay; give `ids` along to get the windows' contents, leave it out to
-    move the plan alone. Repeated rows are pieces of their own. An empty table gives no rows.
+    move the plan alone. Repeated rows, with or without a key, are pieces of their own and are spread
+    over the blocks; null keys sort last. An empty table gives no rows.
     """
     blocks = max(1, round(n_docs / block))
-    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(F.col(key), F.lit(71)), F.lit(blocks)))
     extra = [c for c in pieces.columns]
+    plain = [c for c in extra if c != "ids"]
+    rows = written(pieces.withColumns({"__hash": F.xxhash64(*plain), "__row": F.monotonically_increasing_id()}), "pieces")
+    many = rows.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1")
+    at = F.when(F.col("__n").isNull(), F.col("__hash")).otherwise(F.xxhash64("__hash", "__row"))
+    dealt = rows.join(many, "__hash", "left").withColumn("__block", F.pmod(at, F.lit(blocks))).select(*extra, "__block")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), (key, "ascending"), ("start", "ascending")])
