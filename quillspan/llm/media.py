@@ -88,36 +88,36 @@ def digest(data: bytes) -> bytes:
 
 
 def chunk_lists(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: int = UNIT) -> DataFrame:
-    """(key, rk, pk, n_bytes, payload_bytes, digests, lens): the ordered chunk list of every row's payload."""
+    """(key, pk, n_bytes, payload_bytes, digests, lens): the ordered chunk list of every row's payload."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                sizes, parts = zip(*payloads(part.column(2), unit))
+                sizes, parts = zip(*payloads(part.column(1), unit))
                 digests, lens = [], []
                 for data, ends in zip(parts, cut(list(parts))):
                     starts = [0, *ends[:-1]]
                     digests.append([digest(data[a:b]) for a, b in zip(starts, ends)])
                     lens.append([b - a for a, b in zip(starts, ends)])
-                arrays = [part.column(0), part.column(1), pa.array([digest(p) for p in parts], pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "rk", "pk", "n_bytes", "payload_bytes", "digests", "lens"])
+                arrays = [part.column(0), pa.array([digest(p) for p in parts], pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "pk", "n_bytes", "payload_bytes", "digests", "lens"])
 
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("rk"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, rk long, pk binary, n_bytes long, payload_bytes long, digests array<binary>, lens array<int>").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, pk binary, n_bytes long, payload_bytes long, digests array<binary>, lens array<int>").withColumnRenamed("key", key)
 
 
-def _packed_payloads(docs: DataFrame, text: str, key: str, unit: int) -> DataFrame:
-    """(pk, rk, z): each row's payload, compressed for its one shuffle."""
+def _packed_payloads(docs: DataFrame, text: str, unit: int) -> DataFrame:
+    """(pk, z): every distinct payload, compressed for its one shuffle; copies go before it, task by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in batches:
             for part in steps(batch):
-                found = [p for _, p in payloads(part.column(1), unit)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(p) for p in found], pa.binary()), part.column(0), pa.array([tool.compress(p) for p in found], pa.binary())], names=["pk", "rk", "z"])
+                found = {digest(p): p for _, p in payloads(part.column(0), unit)}
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([tool.compress(p) for p in found.values()], pa.binary())], names=["pk", "z"])
 
-    return docs.select(F.xxhash64(F.col(key)).alias("rk"), F.col(text).alias("text")).mapInArrow(run, "pk binary, rk long, z binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "pk binary, z binary").dropDuplicates(["pk"])
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +192,14 @@ class MediaStore:
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", unit: int = UNIT):
         spark = docs.sparkSession
         self.key, self.lists = key, written(chunk_lists(docs, text, key, unit), "lists")
-        reps = self.lists.groupBy("pk").agg(F.min("rk").alias("rk"), F.first("digests").alias("digests"), F.first("lens").alias("lens"))
+        reps = self.lists.groupBy("pk").agg(F.first("digests").alias("digests"), F.first("lens").alias("lens"))
         reps = written(reps, "payloads")
         chunks = reps.select("pk", F.posexplode("digests").alias("pos", "digest"))
         many = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("pk", "pos")).alias("owner")).where("n > 1").select("digest", "owner")
         self.refs = written(chunks.join(many, "digest").select("pk", "pos", "digest", ((F.col("owner.pk") == F.col("pk")) & (F.col("owner.pos") == F.col("pos"))).alias("own")), "refs")
         held = self.refs.groupBy("pk").agg(F.collect_list("pos").alias("shared"), F.collect_list(F.when(F.col("own"), F.col("pos"))).alias("owned"))
         plan = reps.join(held, "pk", "left")
-        rows = _packed_payloads(docs, text, key, unit).join(plan, ["pk", "rk"]).select("z", "pk", "lens", "digests", "shared", "owned")
+        rows = _packed_payloads(docs, text, unit).join(plan, "pk").select("z", "pk", "lens", "digests", "shared", "owned")
         self.path = new_path(spark, "media")
         rows.mapInArrow(_stored, "kind string, name binary, data binary, lens array<int>").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").partitionBy("kind").parquet(self.path)
         self.store = spark.read.schema("name binary, data binary, lens array<int>, kind string").parquet(self.path)
