@@ -146,8 +146,21 @@ def parse_line(line: str) -> tuple[str, list[Span]]:
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
+class _Kinds(dict):
+    """The class of each character, found once: digit, upper-case, other letter, or itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
+        return self[code]
+
+
+_KINDS = _Kinds()
+
+
 def _classes(word: str) -> str:
-    return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64])
+    """The classes of all characters of a word, however long."""
+    return word.translate(_KINDS)
 
 
 def features(words: list[str], i: int) -> list[str]:
