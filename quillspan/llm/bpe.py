@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.textbatch import steps
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose ids a worker keeps; beyond it the dictionary starts anew.
-KEPT_WORDS = 1_000_000
+#: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair; beyond it the dictionary starts anew.
+KEPT_BYTES, ENTRY = 192 << 20, 160
 
 #: The pre-token pattern of the vocabulary, its white space written out.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -45,7 +45,7 @@ def byte_symbols() -> list[str]:
 class Merger:
     """Merge tables of one vocabulary, as arrays, and the dictionary of merged chunks."""
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -62,7 +62,7 @@ class Merger:
         self.size = int(max(vocab.values())) + 1
         self._tables(left * self.size + right, made)
         self.pattern, self.space = regex.compile(PATTERN), regex.compile(f"[{_SPACE}]+")
-        self.kept, self.known = kept, {}
+        self.kept, self.known, self.held = kept, {}, 0
 
     def _tables(self, keys: np.ndarray, made: np.ndarray) -> None:
         """An open-addressed hash table key -> rank, probed in a fixed number of numpy steps."""
@@ -181,8 +181,9 @@ class Merger:
     def learn(self, found: list[list[str]]) -> None:
         """Tokenise the chunks of `found` that are not known yet."""
         new = [c for c in set().union(*found) if c not in self.known]
-        if len(self.known) + len(new) > self.kept and self.known:
+        if self.held + sum(map(len, new)) + ENTRY * len(new) > self.kept and self.known:
             self.known.clear()
+            self.held = 0
             new = list(set().union(*found))
         for at in range(0, len(new), 1 << 16):
             chunks = new[at : at + (1 << 16)]
@@ -195,7 +196,9 @@ class Merger:
             begin = end - counts * 4
             got = {n: np.uint32(n).astype("<u4").tobytes() for n in numbers}
             got.update(zip(words, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]))
-            self.known.update(zip(chunks, [b"".join([got[w] for w in p]) for p in parts]))
+            made = [b"".join([got[w] for w in p]) for p in parts]
+            self.held += sum(map(len, chunks)) + sum(map(len, made)) + ENTRY * len(chunks)
+            self.known.update(zip(chunks, made))
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no pre-token contains; str.split() also cuts at four control bytes."""
@@ -214,7 +217,7 @@ class Merger:
 _MERGERS: dict[tuple[str, int], Merger] = {}
 
 
-def merger(vocabulary: str = VOCABULARY, kept: int = KEPT_WORDS) -> Merger:
+def merger(vocabulary: str = VOCABULARY, kept: int = KEPT_BYTES) -> Merger:
     """The worker's merger of a vocabulary file of the tokenizer package."""
     if (vocabulary, kept) not in _MERGERS:
         import public_tokenizers
