@@ -6,17 +6,20 @@
 2. Classes meet in band buckets. Each member is paired with its bucket's hub alone: the member whose
    buckets are the largest, as the original of many copies is. What these links leave apart is
    compared in a second round: pairs of a bucket whose members are in different components. In
-   small buckets by a join; large ones as pairs of blocks, each pair of members in the first
-   bucket they share, with the exact check in place, so that only links which connect something
-   become rows. So a large group of copies makes rows in proportion to its size and no link
-   between components is left out.
+   small buckets by a join; in large ones the members outside the bucket's main component, the
+   strays, meet blocks of that component and blocks of each other, each pair of members in the
+   first bucket they share, with the exact check in place, so that only links which connect
+   something become rows. Blocks have BLOCK members or the root of the bucket's size, whichever is
+   more. So a member of the main component is one row while the strays fit a block, k strays of n
+   members are k * sqrt(n) rows at worst, and no link between components is left out.
 3. Pairs are compared by batches of their signatures. After each batch the posterior of the
    similarity, under a flat prior, is known; a pair goes once the chance that it reaches the
    threshold falls below `miss`. The survivors' full sets are compared exactly.
 4. Connected components of the links are the groups.
 
 A text of fewer words than a shingle is one shingle; a null or wordless text has an empty set and
-is linked with nothing. Rows that share a document id are nodes of their own.
+is linked with nothing. Rows that share a document id are nodes of their own. Ties go to the
+smallest key, then to the smallest text hash; null keys come last. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ ROWS, UNMET = 5, 8e-7
 BATCH = 24
 #: Chance, per step, of losing a pair that reaches the threshold.
 MISS = 1e-7
-#: Buckets of up to this many members are compared by a join, larger ones by pairs of blocks.
+#: Buckets of up to this many members are compared by a join, larger ones by pairs of blocks of BLOCK members or more.
 SMALL = 16
 BLOCK = 256
 _STEP_SHINGLES = 1 << 15
@@ -192,7 +195,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS) -> DataFrame:
-    """(key, n_shingles, node, guard, sig, bands) per row; all but the first two null for empty sets."""
+    """(key, hash, n_shingles, node, guard, sig, bands) per row, hash a 64-bit hash of the text; the last four null for empty sets."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +215,10 @@ def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", band
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(band.reshape(-1), pa.int64()))
                 gone = pa.array(empty)
                 null = lambda x: pa.compute.if_else(gone, pa.scalar(None, x.type), x)
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), null(pa.array(node)), null(pa.array(guard)), null(sigs), pa.array([None if e else x for e, x in zip(empty.tolist(), lists.to_pylist())], pa.list_(pa.int64())) if empty.any() else lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_shingles", "node", "guard", "sig", "bands"])
+                arrays = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), null(pa.array(node)), null(pa.array(guard)), null(sigs), pa.array([None if e else x for e, x in zip(empty.tolist(), lists.to_pylist())], pa.list_(pa.int64())) if empty.any() else lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "hash", "n_shingles", "node", "guard", "sig", "bands"])
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_shingles long, node long, guard long, sig binary, bands array<long>")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")).mapInArrow(run, f"key {kind}, hash long, n_shingles long, node long, guard long, sig binary, bands array<long>")
     return out.withColumnRenamed("key", key)
 
 
@@ -251,7 +254,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _node_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, z): one compressed text of each wanted class (node, key); a clash of ids is settled by the set key."""
+    """(node, z): one compressed text of each wanted class (node, key, hash); a clash of hashes is settled by the set key."""
     kind = docs.schema[key].dataType.simpleString()
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> Data
         for batch in batches:
             for part in steps(batch):
                 z = [tool.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["key", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(z, pa.binary())], names=["key", "hash", "z"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -269,38 +272,57 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> Data
                 keys, _ = set_keys(np.concatenate(found), np.array([len(x) for x in found]))
                 yield batch.filter(pa.array(keys == batch.column(0).to_numpy()))
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.mapInArrow(zipped, f"key {kind}, z binary").join(wanted.withColumnRenamed(key, "key"), "key")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    made = rows.mapInArrow(zipped, f"key {kind}, hash long, z binary")
+    found = made.join(wanted, made["key"].eqNullSafe(wanted[key]) & (made["hash"] == wanted["hash"]))
     return found.select("node", "z").mapInArrow(own, "node long, z binary").dropDuplicates(["node"])
 
 
+def blocks_of(open_: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, band, i, j, main_block, left, own, node, root): the members of large buckets in the pairs of blocks they are compared in.
+
+    A pair of blocks is (bucket, i, j, main_block): block i of the strays (left) with block j of the
+    main component (main_block), or with block j >= i of the strays; own marks a block with itself.
+    """
+    col = F.col
+    mine = open_.where("node != pivot").withColumn("width", F.greatest(F.lit(block), F.ceil(F.sqrt("size")).cast("int")))
+    mine = mine.withColumns({"strays": F.ceil((col("size") - col("held")) / col("width")).cast("int"), "mains": F.ceil(col("held") / col("width")).cast("int")})
+    stray = col("root") != col("main")
+    mine = mine.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(stray, col("strays")).otherwise(col("mains"))).cast("int"))
+    pair = lambda i, j, left, main: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.lit(main).alias("main_block"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.transform(upto(col("mains")), lambda k: pair(col("mine"), k, True, True))
+    lower, higher = (F.transform(F.filter(upto(col("strays")), f), g) for f, g in ((lambda k: k >= col("mine"), lambda k: pair(col("mine"), k, True, False)), (lambda k: k < col("mine"), lambda k: pair(k, col("mine"), False, False))))
+    at = F.when(stray, F.concat(with_main, lower, higher)).otherwise(F.transform(upto(col("strays")), lambda k: pair(k, col("mine"), False, True)))
+    out = mine.withColumn("at", F.explode(at)).select("bucket", "band", "at.*", "node", "root")
+    return out.withColumn("own", (col("i") == col("j")) & ~col("main_block"))
+
+
 def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that the first round left in different components."""
     threshold = percent / 100
     tagged = members.join(comp, "node", "left").select("bucket", "band", "node", "pivot", F.coalesce("root", "node").alias("root"))
     per = tagged.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    main = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", "root")).alias("most"))
+    main = main.select("bucket", "size", "comps", F.col("most.root").alias("main"), F.col("most.n").alias("held"))
     open_ = tagged.join(main.where("comps > 1 and size > 2"), "bucket")
     small = open_.where(F.col("size") <= SMALL)
     x = small.where("root != main and node != pivot").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), "main")
     y = small.where("node != pivot").select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
     pairs = x.join(y, "bucket").where("rx != ry and (ry = main or x > y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
-    big = open_.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each member goes to the block pairs (mine, other) and (other, mine) with the lower number first
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root", "mine")
+    big = blocks_of(open_.where(F.col("size") > SMALL))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
-        band, i, j = (table[c][0].as_py() for c in ("band", "i", "j"))
+        node, root, left = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "root", "left"))
+        band, own = table["band"][0].as_py(), table["own"][0].as_py()
         sig = _matrix(table["sig"].combine_chunks())
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        first, second = np.flatnonzero(left), np.flatnonzero(left if own else ~left)
         found = []
-        for p in left.tolist():
-            q = right[(root[right] != root[p]) & ((node[right] > node[p]) | (i != j))]
+        for p in first.tolist():
+            q = second[(root[second] != root[p]) & ((node[second] > node[p]) | (not own))]
             q = q[~(bands[q, :band] == bands[p, :band]).any(axis=1)]
             for step, fewest in enumerate(least_matches(threshold, MISS, BATCH, sig.shape[1])):
                 if not len(q):
@@ -331,7 +353,7 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
                         links.append((max(int(node[p]), int(node[q])), min(int(node[p]), int(node[q]))))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    far = big.join(classes.select("node", "sig", "bands"), "node").join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    far = big.join(classes.select("node", "sig", "bands"), "node").join(texts, "node").groupBy("bucket", "i", "j", "main_block").applyInArrow(run, "a long, b long")
     near = _confirmed(_filtered(pairs, classes.select("node", "sig"), threshold), texts, percent)
     return near.union(far).distinct()
 
@@ -339,13 +361,20 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept, n_class): the group of every row.
 
-    component_id is the smallest key in the row's group, kept whether the row is that one, n_class
-    the number of rows with the very same set.
+    component_id is the smallest key in the row's group, kept whether the row has it, n_class
+    the number of rows with the very same set. Both are null where the group has null keys alone.
     """
+    out = _grouped(docs, percent, text, key)
+    group = F.coalesce("component", F.col(key))
+    return out.select(key, "n_shingles", group.alias("component_id"), (F.col(key) == group).alias("kept"), F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"))
+
+
+def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
+    """(key, hash, n_shingles, node, n_class, component, first): the group's smallest key and its first row as (no key, key, hash); nulls for empty sets."""
     threshold = percent / 100
     base = written(document_sets(docs, text, key, bands_for(percent)), "sets")
     full = base.where(F.col("node").isNotNull())
-    classes = written(full.groupBy("node", "guard").agg(F.min(key).alias("rep"), F.count("*").alias("n_class"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    classes = written(full.groupBy("node", "guard").agg(F.min(_identity(key)).alias("rep"), F.count("*").alias("n_class"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     bands = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(bands.join(shared, "bucket"), "buckets")
@@ -353,7 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     pivots = sized.join(hubs, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
     members = written(sized.select("bucket", "band", "node").join(pivots, "bucket"), "members")
     drop(sized)
-    texts = written(_node_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias(key)), text, key), "texts")
+    texts = written(_node_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col(f"rep.{key}").alias(key), F.col("rep.hash").alias("hash")), text, key), "texts")
 
     star = members.where("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
     links = written(_confirmed(_filtered(star, classes.select("node", "sig"), threshold), texts, percent), "links")
@@ -366,17 +395,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     drop(texts)
 
     tagged = classes.join(last, "node", "left").select("node", "guard", "rep", "n_class", F.coalesce("root", "node").alias("root"))
-    smallest = tagged.groupBy("root").agg(F.min("rep").alias("component"))
-    labels = tagged.join(smallest, "root").select("node", "guard", "n_class", "component")
-    out = base.select(key, "n_shingles", "node", "guard").join(labels, ["node", "guard"], "left")
-    group = F.coalesce("component", F.col(key))
-    return out.select(key, "n_shingles", group.alias("component_id"), (F.col(key) == group).alias("kept"), F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"))
+    smallest = tagged.groupBy("root").agg(F.min("rep").alias("first"))
+    labels = tagged.join(smallest, "root").select("node", "guard", "n_class", F.col(f"first.{key}").alias("component"), "first")
+    return base.select(key, "hash", "n_shingles", "node", "guard").join(labels, ["node", "guard"], "left").drop("guard")
+
+
+def _identity(key: str):
+    """What orders and names a row: rows without a key last, then key and text hash."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key), F.col("hash"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, with all their columns, that are the smallest of their group; keys should be unique."""
-    gone = near_duplicates(docs, percent, text, key).where("not kept").select(key)
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    """The documents, with all their columns: the first row of each group, and every row with an empty set.
+
+    First is the smallest key, then the smallest text hash; null keys come last. Rows are told apart
+    by key and text, so keys may repeat or be null, and of rows with equal key and text one stays.
+    """
+    rows = _grouped(docs, percent, text, key).where("node is not null")
+    judged = rows.groupBy(key, "hash").agg(F.count("*").alias("n"), F.min(F.when(_identity(key).eqNullSafe(F.col("first")), 1).otherwise(0)).alias("stays"))
+    judged = written(judged.where("n > 1 or stays = 0").withColumnRenamed("hash", "__hash"), "judged")
+    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = lambda a, b: a[key].eqNullSafe(b[key]) & (a["__hash"] == b["__hash"])
+    again = judged.where("stays = 1")
+    gone = judged if not again.isEmpty() else judged.where("stays = 0")
+    out = marked.join(gone, same(marked, gone), "left_anti")
+    if gone is judged:  # repeated rows: one of each, found apart from the rest
+        out = out.unionByName(marked.join(again, same(marked, again), "left_semi").dropDuplicates([key, "__hash"]))
+    return out.select(docs.columns)
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
