@@ -1,7 +1,8 @@
 """Tables that cut lineage: written once to the folder all executors share.
 
-The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a laptop)
-does a folder of our own stand in. Files go when the session's file system closes.
+The folder is the session's spark.checkpoint.dir; only where that is unset and the master is local
+(tests, a laptop) does a folder of our own stand in. On a cluster without it this is an error.
+Files go when the session's file system closes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.quillspan.scratch", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
             spark.conf.set("spark.quillspan.scratch", found)
     return found.rstrip("/")
