@@ -43,12 +43,12 @@ def _at_or_below(bounds: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray
     high = np.searchsorted(bounds[0], keys[0], "right")
     if len(bounds) == 1:
         return high
-    same = np.flatnonzero(high > low)
+    same, out = np.flatnonzero(high > low), low.copy()
     for a in np.unique(low[same]).tolist():  # the rows that share their first value with a boundary, value by value
         rows = same[low[same] == a]
         b = int(high[rows[0]])
-        low[rows] = a + _at_or_below([x[a:b] for x in bounds[1:]], [x[rows] for x in keys[1:]])
-    return low
+        out[rows] = a + _at_or_below([x[a:b] for x in bounds[1:]], [x[rows] for x in keys[1:]])
+    return out
 
 
 def with_range(keyed: DataFrame, bounds: list[tuple]) -> DataFrame:

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-import corpus_pipeline
 from quillspan.llm.registry import QUERIES
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -352,23 +351,3 @@ def test_op10(spark, tables, docs):
         p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert seen.setdefault(p, (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
-
-
-def test_pipeline(spark, tables, docs):
-    from quillspan.llm.scratch import written
-
-    texts, kept = text_of(docs), {}
-    now = spark.read.parquet(f"{tables}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        columns, now = now.columns, written(stage(spark, now, tables), "test")
-        if name != "packing":
-            assert now.columns == columns
-        kept[name] = {r["doc_id"] for r in now.select("doc_id").collect()}
-    assert {90001, 90002, 90003, 90008}.isdisjoint(kept["language ID"]) and 90004 in kept["language ID"]
-    same = {r["doc_id"]: r["component_id"] for r in rows(spark, tables, 1)}
-    left = {i for i in kept["language ID"] if i is not None}
-    assert {i for i in kept["near duplicates"] if i is not None} <= left and len({same[i] for i in left}) == len({i for i in kept["near duplicates"] if i is not None})
-    bad = {r["doc_id"] for r in rows(spark, tables, 6) if r["contaminated"]}
-    assert kept["decontamination"] == kept["near duplicates"] - bad
-    assert kept["personal data"] == kept["decontamination"] == kept["packing"]
-    assert set(texts) - kept["language ID"] <= {90001, 90002, 90003, 90008}
