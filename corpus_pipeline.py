@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet before the next reads it.
 
-All stages but the last return the columns of `documents`. Each works on every row that its
-predecessor kept and is a function of those rows alone.
+All stages but the last return the columns of `documents`, further columns included, whatever their
+names. Each works on every row that its predecessor kept and is a function of those rows alone. Ids
+may repeat or be null: rows are judged one by one, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,29 +24,41 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents with a recognised language; the model learns from the labelled rows that are not held out."""
+    """Documents with a recognised language; the model learns from the labelled rows that are not held out.
+
+    Null, empty and letterless texts have none and go. Equal texts are judged alike; ties between
+    languages go to the first by name. Without labelled rows no language is known and all go.
+    """
     model = fit(labelled_sample(docs.where(~held_out())))
     judged = predictions(docs, model)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def duplicate_stage(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates.
+
+    Ties go to the smallest text hash, null ids come last, of equal rows one stays. Texts without
+    words are in no group and stay.
+    """
     return deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_stage(spark, docs, sf_dir):
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and wordless texts hold none and stay; items without text have no windows, items without
+    an id count.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def privacy_stage(spark, docs, sf_dir):
-    """All documents, personal data masked, lengths renewed."""
+    """All documents, personal data masked, lengths renewed; texts without any, null and empty ones stay as they are."""
     return redacted(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packing_stage(spark, docs, sf_dir):
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; a null or empty text is its end id, repeated rows are pieces of their own."""
     return packed(docs)
 
 
