@@ -45,37 +45,41 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float = 86400.0, leas
     return both.withColumn("overlap_s", inter).drop("l_bucket", "r_bucket")
 
 
-def clusters(tables: dict[str, DataFrame], on: list[str]) -> DataFrame:
-    """The union of interval tables with `side` and the number of the chain of overlaps a row is in.
+def iou_pairs(truth: DataFrame, pred: DataFrame, least: float = 0.25, on: tuple[str, ...] = (KEY, "name"), width: float = 86400.0) -> DataFrame:
+    """(on..., i, j, iou) of overlapping pairs with an IoU of at least `least`; i and j are the rows' `event_id`.
 
-    Rows of different chains never overlap, so work per chain is exact and chains are small
-    however long the recording.
+    Candidates come from the bucketed join, so a long recording is spread over tasks.
     """
-    rows = None
-    for side, df in tables.items():
-        part = df.withColumn("side", F.lit(side))
-        rows = part if rows is None else rows.unionByName(part)
-    order = Window.partitionBy(*on).orderBy("start_s", "stop_s")
-    reach = F.max("stop_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(F.col("start_s") < reach, 0).otherwise(1))
-    return marked.withColumn("chain", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def iou_pairs(truth: DataFrame, pred: DataFrame, least: float = 0.25, on: tuple[str, ...] = (KEY, "name"), digits: int = 9) -> DataFrame:
-    """(on..., chain, i, j, iou) with a rounded IoU of at least `least`; i and j are the rows' `event_id`."""
-    keys = [*on, "chain"]
     cols = [*on, "event_id", "start_s", "stop_s"]
-    both = clusters({"t": truth.select(*cols), "p": pred.select(*cols)}, list(on))
-    side = lambda s, n, x: both.where(F.col("side") == s).select(*keys, F.col("event_id").alias(n), F.col("start_s").alias(f"{x}s"), F.col("stop_s").alias(f"{x}e"))
-    pairs = side("t", "i", "a").join(side("p", "j", "b"), keys)
-    value = F.round(iou(F.col("as"), F.col("ae"), F.col("bs"), F.col("be")), digits)
-    return pairs.withColumn("iou", value).where(F.col("iou") >= least).select(*keys, "i", "j", "iou")
+    both = overlap_join(truth.select(*cols), pred.select(*cols), width, 0.0, on=on)
+    value = iou(F.col("l_start_s"), F.col("l_stop_s"), F.col("r_start_s"), F.col("r_stop_s"))
+    out = both.select(*(F.col(f"l_{c}").alias(c) for c in on), F.col("l_event_id").alias("i"), F.col("r_event_id").alias("j"), value.alias("iou"))
+    return out.where(F.col("iou") >= least)
 
 
-def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matches, best IoU first, ties by i then j, as an ordered fold per chain."""
+def greedy_match(pairs: DataFrame, keys: list[str], rounds: int = 3) -> DataFrame:
+    """One-to-one matches (keys, i, j, iou), best IoU first, ties by i then j.
+
+    A pair that is the best of all pairs of its i and of its j is what the greedy order takes, too:
+    such pairs are matched in `rounds` rounds of windows over single intervals, which settles all
+    but long chains of preferences. What is left is folded in order per key.
+    """
+    a, b = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "j")
+    best = [F.col("__open").desc(), F.desc("iou"), "i", "j"]
+    rows = pairs.select(*keys, "i", "j", "iou").withColumns({"__open": F.lit(True), "__taken": F.lit(False)})
+    for _ in range(rounds):  # two shuffles a round: pairs by i, pairs by j
+        rows = rows.withColumn("__a", F.row_number().over(a.orderBy(*best))).withColumn("__b", F.row_number().over(b.orderBy(*best)))
+        rows = rows.withColumn("__taken", F.col("__taken") | (F.col("__open") & (F.col("__a") == 1) & (F.col("__b") == 1)))
+        rows = rows.withColumn("__j", F.max("__taken").over(b)).withColumn("__open", ~F.col("__j") & ~F.max("__taken").over(a))
+    done = rows.where("__taken").select(*keys, "i", "j", "iou")
+    return done.unionByName(_folded(rows.where("__open").select(*keys, "i", "j", "iou"), keys))
+
+
+def _folded(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Greedy matches as an ordered fold per key."""
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("i", "j")}
     ranked = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("d"), "i", "j"))).alias("p"))
-    empty = F.expr("named_struct('i', cast(array() as array<bigint>), 'j', cast(array() as array<bigint>), 'd', cast(array() as array<double>))")
+    empty = F.expr(f"named_struct('i', cast(array() as array<{kinds['i']}>), 'j', cast(array() as array<{kinds['j']}>), 'd', cast(array() as array<double>))")
 
     def step(acc: Column, x: Column) -> Column:
         free = ~F.array_contains(acc["i"], x["i"]) & ~F.array_contains(acc["j"], x["j"])
@@ -87,30 +91,77 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("x.i").alias("i"), F.col("x.j").alias("j"), (-F.col("x.d")).alias("iou"))
 
 
-def nearest(left: DataFrame, right: DataFrame, tolerance: float | None = None) -> DataFrame:
-    """(recording_id, id, t) rows of the left with the nearest right time: `near_id`, `near_t`, `dist`.
+def matched(truth: DataFrame, pred: DataFrame, least: float = 0.25, on: tuple[str, ...] = (KEY, "name")) -> DataFrame:
+    """(on..., i, j, iou): the greedy one-to-one match of two interval tables.
+
+    With `least` at 0 or below, rows without a partner are matched in order of their ids, with IoU 0.
+    """
+    keys = list(on)
+    out = greedy_match(iou_pairs(truth, pred, least, on), keys)
+    if least > 0:
+        return out
+
+    def single(side: DataFrame, name: str) -> DataFrame:
+        free = side.select(*keys, F.col("event_id").alias(name)).join(out, [*keys, name], "left_anti")
+        return free.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(name)))
+
+    return out.unionByName(single(truth, "i").join(single(pred, "j"), [*keys, "__n"]).select(*keys, "i", "j", F.lit(0.0).alias("iou")))
 
-    Both tables are sorted together once; the last right time before and the first after a left
-    time come from windows, so no pair is made. Ties go to the earlier time.
+
+def nearest(left: DataFrame, right: DataFrame, tolerance: float | None = None, rate: float = 1.0, width: float = 86400.0) -> DataFrame:
+    """(recording_id, id, t) rows of the left with the nearest right time: `near_id` and `dist`.
+
+    Distances are whole samples of 1 / `rate` seconds, cut off; ties go to the smallest right id.
+    `dist` is in seconds. Times are sorted within buckets of `width` seconds, and the last and first
+    right times of other buckets come from a table of a row per bucket, so a long recording is
+    spread over tasks and no pair is made. Ids at the nearest distance are looked up by sample.
     """
-    cols = [KEY, F.col("id").alias("id"), F.col("t").alias("t")]
-    both = left.select(*cols, F.lit(1).alias("side")).union(right.select(*cols, F.lit(0).alias("side")))
-    mark = F.when(F.col("side") == 0, F.struct("t", "id"))
-    back = Window.partitionBy(KEY).orderBy("t", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(KEY).orderBy("t", "side", "id").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("lo", F.last(mark, True).over(back)).withColumn("hi", F.first(mark, True).over(ahead))
-    rows = both.where("side = 1")
-    first = F.col("hi").isNull() | (F.col("lo").isNotNull() & (F.col("t") - F.col("lo.t") <= F.col("hi.t") - F.col("t")))
-    best = F.when(first, F.col("lo")).otherwise(F.col("hi"))
-    out = rows.select(KEY, "id", "t", best["id"].alias("near_id"), best["t"].alias("near_t"))
-    out = out.withColumn("dist", F.abs(F.col("t") - F.col("near_t")))
-    return out if tolerance is None else out.where(F.col("dist") <= tolerance)
-
-
-def one_to_one(matched: DataFrame) -> DataFrame:
+    col, bucket = F.col, F.floor(F.col("t") / width)
+    rights = right.groupBy(KEY, "t").agg(F.min("id").alias("id")).withColumn("bucket", bucket)
+    lefts = left.select(KEY, col("id"), col("t"), bucket.alias("bucket"))
+    empty = F.lit(None).cast("double")
+    both = lefts.select(KEY, "bucket", "t", "id", empty.alias("r")).unionByName(rights.select(KEY, "bucket", "t", F.lit(None).cast(left.schema["id"].dataType).alias("id"), col("t").cast("double").alias("r")))
+    near = Window.partitionBy(KEY, "bucket").orderBy("t")
+    both = both.withColumn("lo", F.max("r").over(near.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.min("r").over(near.rangeBetween(0, Window.unboundedFollowing)))
+    ends = both.groupBy(KEY, "bucket").agg(F.max("r").alias("top"), F.min("r").alias("low"))
+    order = Window.partitionBy(KEY).orderBy("bucket")
+    ends = ends.select(KEY, "bucket", F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    rows = both.where("r is null").join(ends, [KEY, "bucket"])
+    samples = lambda x: F.floor(F.abs(x - col("t")) * rate)
+    rows = rows.withColumn("d", F.least(samples(F.coalesce("lo", "before")), samples(F.coalesce("hi", "after")))).where("d is not null")
+    if tolerance is not None:
+        rows = rows.where(col("d") <= tolerance * rate)
+    # right times with this very distance lie less than two samples apart on either side
+    place = lambda x: F.floor(x * rate)
+    at = F.array_distinct(F.array(*(place(col("t")) + s * col("d") + k for s in (-1, 1) for k in (-1, 0, 1))))
+    asked = rows.select(KEY, "id", "t", "d", F.explode(at).alias("__s"))
+    found = asked.join(rights.select(KEY, col("t").alias("__t"), col("id").alias("near_id"), place(col("t")).alias("__s")), [KEY, "__s"])
+    found = found.where(F.floor(F.abs(col("__t") - col("t")) * rate) == col("d"))
+    best = found.groupBy(KEY, "id", "t", "d").agg(F.min("near_id").alias("near_id"))
+    return best.select(KEY, "id", "t", "near_id", (col("d") / rate).alias("dist"))
+
+
+def one_to_one(near: DataFrame) -> DataFrame:
     """Of left rows with the same nearest right row, the closest; ties to the smaller id."""
     w = Window.partitionBy(KEY, "near_id").orderBy("dist", "id")
-    return matched.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return near.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def event_scores(truth: DataFrame, pred: DataFrame, tolerance: float, rate: float = 1.0, digits: int = 6) -> DataFrame:
+    """(tp, fp, fn, precision, recall, f1) of events (recording_id, id, t).
+
+    Hits and false alarms count predictions with a nearest true event of their own, misses true
+    events without a nearest prediction of their own. Nothing wrong gives 1, also without events.
+    """
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    hits = one_to_one(nearest(pred, truth, tolerance, rate))
+    found = one_to_one(nearest(truth, pred, tolerance, rate))
+    n = count(hits, "tp").join(F.broadcast(count(pred, "np"))).join(F.broadcast(count(truth, "nt"))).join(F.broadcast(count(found, "nf")))  # one row each
+    n = n.select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("nf")).alias("fn"))
+    share = lambda wrong: F.when(F.col(wrong) == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col(wrong)))
+    n = n.withColumns({"p": share("fp"), "r": share("fn")})
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return n.select("tp", "fp", "fn", F.round("p", digits).alias("precision"), F.round("r", digits).alias("recall"), F.round(f1, digits).alias("f1"))
 
 
 def in_range(start: float | None, stop: float | None, strict: bool = True) -> Column:

@@ -26,9 +26,10 @@ def prf(df: DataFrame, micro: bool | Column = False, digits: int = 6) -> DataFra
     return out.withColumns({"precision": F.round("__p", digits), "recall": F.round("__r", digits), "f1": F.round(f1, digits)}).drop("__p", "__r")
 
 
-def confusion(df: DataFrame, truth: str = "t", pred: str = "p") -> DataFrame:
-    """(t, p, n) of label pairs."""
-    return df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, truth: str = "t", pred: str = "p", weight: str | None = None) -> DataFrame:
+    """(t, p, n) of label pairs; `weight` is a column of counts, one a row without it."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(n.alias("n"))
 
 
 def dense_confusion(counts: DataFrame) -> DataFrame:

@@ -171,9 +171,9 @@ def tcn_forward(spark, d) -> DataFrame:
 
 # ---- features and models ---------------------------------------------------------------------
 
-@query("""WITH f AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 5) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 5) AS b FROM f""")
+@query("SELECT vec_id, " + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i + 1}]::DOUBLE) OVER (), 5) AS x{i}" for i in range(SIZE)) + " FROM embeddings")
 def standard_scale(spark, d) -> DataFrame:
-    """All SIZE components, x0 and so on; the SQL beside it still has the first two, as a and b."""
+    """All SIZE components, x0 and so on."""
     names = [f"x{i}" for i in range(SIZE)]
     f = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
     return ml.scaled(f, names).select("vec_id", *(F.round(c, 5).alias(c) for c in names))

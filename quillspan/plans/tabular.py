@@ -46,7 +46,7 @@ def significant_overlap(spark, d) -> DataFrame:
     return both.groupBy(F.col("l_recording_id").alias("recording_id"), F.col("l_event_id").alias("segment")).agg(F.count("*").alias("n"))
 
 
-IOU_SQL = f"""{TRUTH_SQL}, {PRED_SQL}, q AS (SELECT t.recording_id, t.name, t.event_id AS i, p.event_id AS j, round((least(t.stop_s, p.stop_s) - greatest(t.start_s, p.start_s)) / (greatest(t.stop_s, p.stop_s) - least(t.start_s, p.start_s)), 9) AS iou
+IOU_SQL = f"""{TRUTH_SQL}, {PRED_SQL}, q AS (SELECT t.recording_id, t.name, t.event_id AS i, p.event_id AS j, (least(t.stop_s, p.stop_s) - greatest(t.start_s, p.start_s)) / (greatest(t.stop_s, p.stop_s) - least(t.start_s, p.start_s)) AS iou
 FROM truth t JOIN pred p ON t.recording_id = p.recording_id AND t.name = p.name AND least(t.stop_s, p.stop_s) - greatest(t.start_s, p.start_s) > 0), pairs AS (SELECT * FROM q WHERE iou >= 0.25)"""
 
 
@@ -65,7 +65,7 @@ g AS (SELECT recording_id, name, i, j, iou, rn, [i] AS ui, [j] AS uj, true AS ok
 
 
 def _matched(spark, d) -> DataFrame:
-    return iv.greedy_match(iv.iou_pairs(views.truth(spark, d), views.pred(spark, d)), ["recording_id", "name", "chain"]).drop("chain")
+    return iv.matched(views.truth(spark, d), views.pred(spark, d))
 
 
 @query(f"WITH RECURSIVE {GREEDY_SQL} SELECT recording_id, name, i, j, round(iou, 6) AS iou FROM matched")
@@ -89,9 +89,9 @@ def detection_prf(spark, d) -> DataFrame:
     return metrics.with_total(per)
 
 
-@query(f"""WITH {TRUTH_SQL}, {PRED_SQL}, s AS (SELECT * FROM pred WHERE event_id % 3 = 0) SELECT recording_id, event_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.recording_id = t.recording_id AND least(t.stop_s, s.stop_s) - greatest(t.start_s, s.start_s) > 1e-9::DOUBLE)""")
+@query(f"""WITH {TRUTH_SQL}, {PRED_SQL}, s AS (SELECT * FROM pred) SELECT recording_id, event_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.recording_id = t.recording_id AND least(t.stop_s, s.stop_s) - greatest(t.start_s, s.start_s) > 1e-9::DOUBLE)""")
 def orphans(spark, d) -> DataFrame:
-    """Events without any overlapping prediction; the SQL beside it still reads a third of `pred`."""
+    """Events without any overlapping prediction."""
     return iv.overlap_join(views.truth(spark, d), views.pred(spark, d), how="left_anti").select("recording_id", "event_id")
 
 
@@ -99,24 +99,34 @@ def _times(df: DataFrame) -> DataFrame:
     return df.select("recording_id", F.col("event_id").alias("id"), F.col("start_s").alias("t"))
 
 
-NEAR_SQL = f"""{TRUTH_SQL}, {PRED_SQL}, n AS (SELECT t.recording_id, t.event_id AS id, t.start_s AS t, arg_min(struct_pack(i := p.event_id, t := p.start_s), struct_pack(d := abs(p.start_s - t.start_s), s := p.start_s)) AS b
-FROM truth t JOIN pred p ON t.recording_id = p.recording_id GROUP BY ALL), near AS (SELECT recording_id, id, t, b.i AS near_id, abs(t - b.t) AS dist FROM n WHERE abs(t - b.t) <= 5000)"""
+def _near_sql(name: str, left: str, right: str) -> str:
+    """Nearest right event of each left one by whole seconds, the lowest id of equal ones, then the closest left event of each right one."""
+    return f"""{name}0 AS (SELECT a.recording_id, a.event_id AS id, arg_min(b.event_id, struct_pack(d := floor(abs(b.start_s - a.start_s)), i := b.event_id)) AS near_id, min(floor(abs(b.start_s - a.start_s))) AS dist
+FROM {left} a JOIN {right} b ON a.recording_id = b.recording_id GROUP BY ALL), {name} AS (SELECT * FROM {name}0 WHERE dist <= 5000),
+{name}1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, near_id ORDER BY dist, id) AS rn FROM {name}) WHERE rn = 1)"""
 
 
-@query(f"WITH {NEAR_SQL} SELECT recording_id, id, near_id, round(dist, 6) AS dist FROM near")
+@query(f"WITH {TRUTH_SQL}, {PRED_SQL}, {_near_sql('near', 'truth', 'pred')} SELECT recording_id, id, near_id, dist FROM near")
 def nearest_match(spark, d) -> DataFrame:
-    return iv.nearest(_times(views.truth(spark, d)), _times(views.pred(spark, d)), 5000.0).select("recording_id", "id", "near_id", r6("dist"))
+    return iv.nearest(_times(views.truth(spark, d)), _times(views.pred(spark, d)), 5000.0).select("recording_id", "id", "near_id", "dist")
 
 
-@query(f"""WITH {NEAR_SQL}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, near_id ORDER BY dist, id) AS rn FROM near) WHERE rn = 1),
-k AS (SELECT (SELECT count(*) FROM o) AS tp, (SELECT count(*) FROM pred) - (SELECT count(*) FROM o) AS fp, (SELECT count(*) FROM truth) - (SELECT count(*) FROM o) AS fn)
-SELECT tp, fp, fn, round(CASE WHEN fp = 0 THEN 1 ELSE tp / (tp + fp)::DOUBLE END, 6) AS precision, round(CASE WHEN fn = 0 THEN 1 ELSE tp / (tp + fn)::DOUBLE END, 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM k""")
+@query(f"""WITH {TRUTH_SQL}, {PRED_SQL}, whole AS (SELECT recording_id, event_id, floor(start_s / 3600) AS start_s FROM truth), told AS (SELECT recording_id, event_id, floor(start_s / 3600) AS start_s FROM pred),
+{_near_sql('near', 'whole', 'told').replace('5000', '2')} SELECT recording_id, id, near_id, dist FROM near1""")
+def nearest_ties(spark, d) -> DataFrame:
+    """One-to-one matches of events by the hour, where equal times and equal distances are many."""
+    hour = lambda df: _times(df).withColumn("t", F.floor(F.col("t") / 3600).cast("double"))
+    near = iv.nearest(hour(views.truth(spark, d)), hour(views.pred(spark, d)), 2.0, width=24.0)
+    return iv.one_to_one(near).select("recording_id", "id", "near_id", "dist")
+
+
+@query(f"""WITH {TRUTH_SQL}, {PRED_SQL}, {_near_sql('pt', 'pred', 'truth')}, {_near_sql('tp', 'truth', 'pred')},
+k AS (SELECT (SELECT count(*) FROM pt1) AS tp, (SELECT count(*) FROM pred) - (SELECT count(*) FROM pt1) AS fp, (SELECT count(*) FROM truth) - (SELECT count(*) FROM tp1) AS fn),
+r AS (SELECT *, CASE WHEN fp = 0 THEN 1 ELSE tp / (tp + fp)::DOUBLE END AS p0, CASE WHEN fn = 0 THEN 1 ELSE tp / (tp + fn)::DOUBLE END AS r0 FROM k)
+SELECT tp, fp, fn, round(p0, 6) AS precision, round(r0, 6) AS recall, round(CASE WHEN p0 + r0 = 0 THEN 0 ELSE 2 * p0 * r0 / (p0 + r0) END, 6) AS f1 FROM r""")
 def event_prf(spark, d) -> DataFrame:
     """Event precision and recall within a tolerance; 1 where nothing is wrong."""
-    t, p = views.truth(spark, d), views.pred(spark, d)
-    hit = iv.one_to_one(iv.nearest(_times(t), _times(p), 5000.0)).agg(F.count("*").alias("tp"))
-    n = hit.join(F.broadcast(t.agg(F.count("*").alias("nt")))).join(F.broadcast(p.agg(F.count("*").alias("np")))).select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
-    return n.select("tp", "fp", "fn", F.round(F.when(F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("precision"), F.round(F.when(F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn"))), 6).alias("recall"), F.round(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
+    return iv.event_scores(_times(views.truth(spark, d)), _times(views.pred(spark, d)), 5000.0)
 
 
 @query(f"WITH {TRUTH_SQL} SELECT recording_id, event_id FROM truth WHERE start_s BETWEEN 100000 AND 500000 AND stop_s BETWEEN 100000 AND 500000")
@@ -193,23 +203,23 @@ def zip_join_pad(spark, d) -> DataFrame:
     return iv.zip_padded(docs, labels, "doc_id", "doc_id", "quality").select("doc_id", "quality")
 
 
-@query("""WITH f AS (SELECT doc_id % 300 AS core, source || '/' || doc_id AS path, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS priority FROM documents WHERE doc_id % 3 <> 0),
+@query("""WITH f AS (SELECT doc_id % 300 AS core, source || '/' || doc_id AS path, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS priority FROM documents),
 n AS (SELECT DISTINCT doc_id % 300 AS core FROM documents), j AS (SELECT core, path, priority, min(priority) OVER (PARTITION BY core) AS p FROM n LEFT JOIN f USING (core))
 SELECT core, min(path) AS path, min(priority) AS priority, count(path) > 1 AS ambiguous FROM j WHERE priority IS NULL OR priority = p GROUP BY core""")
 def file_pairing(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
-    found = docs.where("doc_id % 3 <> 0").select((F.col("doc_id") % 300).alias("core"), F.concat_ws("/", "source", "doc_id").alias("path"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2).alias("priority"))
+    found = docs.select((F.col("doc_id") % 300).alias("core"), F.concat_ws("/", "source", "doc_id").alias("path"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2).alias("priority"))
     return iv.paired(docs.select((F.col("doc_id") % 300).alias("core")).distinct(), found)
 
 
-@query("""SELECT doc_id AS core, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS state FROM (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l USING (doc_id)""")
+@query("""SELECT doc_id AS core, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS state FROM documents d FULL JOIN labels l USING (doc_id)""")
 def file_sides(spark, d) -> DataFrame:
     """File names on both sides or one, as in the reports of a directory comparison."""
-    left = table(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("core"))
+    left = table(spark, d, "documents").select(F.col("doc_id").alias("core"))
     return iv.both_sides(left, table(spark, d, "labels").select(F.col("doc_id").alias("core")), "core")
 
 
-@query(f"""WITH RECURSIVE {TRUTH_SQL}, {PRED_SQL}, s AS (SELECT recording_id, event_id AS unit_id, start_s AS ts, stop_s AS te FROM truth WHERE event_id % 4 = 0),
+@query(f"""WITH RECURSIVE {TRUTH_SQL}, {PRED_SQL}, s AS (SELECT recording_id, event_id AS unit_id, start_s AS ts, stop_s AS te FROM truth),
 m AS (SELECT recording_id, name, start_s AS ms, stop_s AS me, event_id AS o FROM pred),
 j AS (SELECT s.*, name, ms, me, o, least(te, me) - greatest(ts, ms) AS ov, greatest(abs(ms - ts), abs(me - te)) AS db, abs(ms - ts) AS ds FROM s JOIN m USING (recording_id)),
 a AS (SELECT recording_id, unit_id, ts, te, list(name ORDER BY ms, o) FILTER (ov >= 2e-2::DOUBLE AND ov >= 12e-2::DOUBLE * (me - ms)) AS strong, list(name ORDER BY ms, o) FILTER (ov > -1e-9::DOUBLE) AS touch,
@@ -218,10 +228,7 @@ SELECT s.recording_id, s.unit_id, CASE WHEN len(strong) >= 2 THEN strong[1] WHEN
   CASE WHEN len(strong) >= 2 THEN 'merged' WHEN db <= 0.2 THEN 'both' WHEN ds <= 0.2 THEN 'start' WHEN len(touch) > 0 THEN 'overlap' ELSE 'none' END AS rule,
   CASE WHEN len(strong) >= 2 THEN len(strong) - 1 ELSE 0 END AS n_missed FROM s LEFT JOIN a USING (recording_id, unit_id)""")
 def label_align(spark, d) -> DataFrame:
-    """Labels by the cascade for every segment; the SQL beside it still reads a quarter of them.
-
-    The remark's count is compared for merged segments.
-    """
+    """Labels by the cascade for every segment; the remark's count is compared for merged segments."""
     seg = views.truth(spark, d).select("recording_id", F.col("event_id").alias("unit_id"), "start_s", "stop_s")
     out = align.align_labels(seg, views.pred(spark, d).withColumn("ord", F.col("event_id")))
     return out.select("recording_id", "unit_id", "label", "rule", F.when(F.col("rule") == "merged", align.missed_in(F.col("remark"))).otherwise(0).alias("n_missed"))
@@ -297,10 +304,10 @@ def age_mean_difference(spark, d) -> DataFrame:
     return views.truth(spark, d).groupBy("name").agg(F.round(a, 6).alias("old_mean"), F.round(b, 6).alias("young_mean"), F.round(a - b, 6).alias("difference"))
 
 
-@query(f"""WITH {TRUTH_SQL}, g AS (SELECT recording_id // 2 AS pair, list(DISTINCT name) FILTER (recording_id % 2 = 1) AS o, list(DISTINCT name) FILTER (recording_id % 2 = 0) AS y FROM truth WHERE event_id % 17 = 0 GROUP BY 1)
+@query(f"""WITH {TRUTH_SQL}, g AS (SELECT recording_id // 2 AS pair, list(DISTINCT name) FILTER (recording_id % 2 = 1) AS o, list(DISTINCT name) FILTER (recording_id % 2 = 0) AS y FROM truth GROUP BY 1)
 SELECT pair, array_to_string(list_sort(list_filter(coalesce(o, []), lambda x: NOT list_contains(coalesce(y, []), x))), ',') AS added, array_to_string(list_sort(list_filter(coalesce(y, []), lambda x: NOT list_contains(coalesce(o, []), x))), ',') AS missing FROM g""")
 def age_set_difference(spark, d) -> DataFrame:
-    """Labels that one age group of a pair has and the other lacks; the SQL beside it still reads one event in 17."""
+    """Labels that one age group of a pair has and the other lacks."""
     old = F.col("recording_id") % 2 == 1
     g = views.truth(spark, d).groupBy(F.floor(F.col("recording_id") / 2).alias("pair")).agg(F.collect_set(F.when(old, F.col("name"))).alias("o"), F.collect_set(F.when(~old, F.col("name"))).alias("y"))
     text = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
@@ -337,9 +344,8 @@ def append_summary(spark, d) -> DataFrame:
 
 # ---- frames ----------------------------------------------------------------------------------
 
-@query(f"""WITH {TRUTH_SQL}, x AS (SELECT DISTINCT recording_id, name, unnest(range(trunc(start_s / 600)::BIGINT, least(trunc(stop_s / 600 + 1)::BIGINT, 3000))) AS frame FROM truth) SELECT recording_id, name, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM x GROUP BY ALL""")
+@query(f"""WITH {TRUTH_SQL}, x AS (SELECT DISTINCT recording_id, name, unnest(range(trunc(start_s / 600)::BIGINT, trunc(stop_s / 600 + 1)::BIGINT)) AS frame FROM truth) SELECT recording_id, name, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM x GROUP BY ALL""")
 def rasterise(spark, d) -> DataFrame:
-    """Frames of whole recordings; the SQL beside it still stops at frame 3000."""
     return fr.raster(views.truth(spark, d), STEP).groupBy("recording_id", "name").agg(F.count("*").alias("n"), F.min("frame").alias("lo"), F.max("frame").alias("hi"))
 
 
@@ -350,20 +356,19 @@ pt AS (SELECT recording_id, frame, arg_max(name, struct_pack(a := start_s, b :=
 fl AS (SELECT recording_id, frame, coalesce(st.name, '__SIL__') AS t, coalesce(pt.name, '__SIL__') AS p FROM sp LEFT JOIN st USING (recording_id, frame) LEFT JOIN pt USING (recording_id, frame)), cm AS (SELECT t, p, count(*) AS n FROM fl GROUP BY ALL)"""
 
 
-def _frame_labels(spark, d) -> DataFrame:
-    t, p = views.truth(spark, d), views.pred(spark, d)
-    side = lambda x, n: fr.stab(x, STEP).withColumnRenamed("name", n)
-    return fr.spine([t, p], STEP).join(side(t, "t"), ["recording_id", "frame"], "left").join(side(p, "p"), ["recording_id", "frame"], "left").fillna(fr.SILENCE, ["t", "p"])
+def _pieces(spark, d) -> DataFrame:
+    return fr.pieces({"t": views.truth(spark, d), "p": views.pred(spark, d)}, STEP)
 
 
 @query(f"WITH {STAB_SQL} SELECT recording_id, t AS name, count(*) AS n, sum(frame)::BIGINT AS total FROM fl GROUP BY ALL")
 def stab_join(spark, d) -> DataFrame:
-    return _frame_labels(spark, d).groupBy("recording_id", F.col("t").alias("name")).agg(F.count("*").alias("n"), F.sum("frame").alias("total"))
+    frames = ((2 * F.col("first") + F.col("n") - 1) * F.col("n") / 2).cast("long")  # the sum of a piece's frame numbers
+    return _pieces(spark, d).groupBy("recording_id", F.col("t").alias("name")).agg(F.sum("n").alias("n"), F.sum(frames).alias("total"))
 
 
 @query(f"WITH {STAB_SQL}, l AS (SELECT t AS x FROM cm UNION SELECT p FROM cm) SELECT a.x AS t, b.x AS p, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN cm ON cm.t = a.x AND cm.p = b.x")
 def frame_confusion(spark, d) -> DataFrame:
-    return metrics.dense_confusion(metrics.confusion(_frame_labels(spark, d)))
+    return metrics.dense_confusion(metrics.confusion(_pieces(spark, d), weight="n"))
 
 
 FRAME_PRF_SQL = f"""{STAB_SQL}, l AS (SELECT t AS label FROM cm UNION SELECT p FROM cm), k AS (SELECT label, coalesce((SELECT sum(n) FROM cm WHERE t = label AND p = label), 0)::BIGINT AS tp, coalesce((SELECT sum(n) FROM cm WHERE p = label AND t <> label), 0)::BIGINT AS fp, coalesce((SELECT sum(n) FROM cm WHERE t = label AND p <> label), 0)::BIGINT AS fn FROM l),
@@ -372,7 +377,7 @@ u AS (SELECT *, {PRF_SQL.format(micro="false")} FROM k), v AS (SELECT label, tp,
 
 @query(f"WITH {FRAME_PRF_SQL} SELECT * FROM v")
 def frame_prf(spark, d) -> DataFrame:
-    return metrics.prf(metrics.from_confusion(metrics.confusion(_frame_labels(spark, d))))
+    return metrics.prf(metrics.from_confusion(metrics.confusion(_pieces(spark, d), weight="n")))
 
 
 @query(f"WITH {FRAME_PRF_SQL} SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(f1) FILTER (label <> '__SIL__'), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM v")
@@ -424,11 +429,11 @@ def runs_to_segments(spark, d) -> DataFrame:
     return out.select(*KEYS, r6("start_s"), r6("stop_s"), F.round((F.col("last") + 1) * 600.0, 6).alias("after_s"))
 
 
-@query(f"""WITH {TRUTH_SQL}, {FRAMES_SQL}, s AS (SELECT recording_id, event_id AS span_id, floor(start_s / 600)::BIGINT AS first, floor(stop_s / 600)::BIGINT + 40 AS last FROM truth WHERE event_id % 10 = 0),
+@query(f"""WITH {TRUTH_SQL}, {FRAMES_SQL}, s AS (SELECT recording_id, event_id AS span_id, floor(start_s / 600)::BIGINT AS first, floor(stop_s / 600)::BIGINT + 40 AS last FROM truth),
 v AS (SELECT recording_id, span_id, name, count(*) AS n FROM s JOIN frames USING (recording_id) WHERE frame >= first AND frame < greatest(first + 1, last) GROUP BY ALL)
 SELECT recording_id, span_id, name, n FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, span_id ORDER BY n DESC, name) AS r FROM v) WHERE r = 1""")
 def majority_label(spark, d) -> DataFrame:
-    """A label for every interval; the SQL beside it still reads one in ten."""
+    """A label for every interval."""
     s = views.truth(spark, d).select("recording_id", F.col("event_id").alias("span_id"), F.floor(F.col("start_s") / 600).alias("first"), (F.floor(F.col("stop_s") / 600) + 40).alias("last"))
     return fr.majority(views.frames(spark, d), s, ["recording_id"])
 
