@@ -17,14 +17,22 @@ def group_of(column: str, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
-def file_core(column: str) -> Column:
-    """A name with each run of other characters than letters and digits as one underscore."""
-    return F.regexp_replace(column, "[^A-Za-z0-9]+", "_")
-
-
-def to_sample(column: str, rate: float, plus: int = 0) -> Column:
-    """Seconds to a sample index, cut towards zero."""
-    return (F.col(column) * F.lit(float(rate)) + plus).cast("long")
+def file_core(column: str, prefix: str = "") -> Column:
+    """A file name without `prefix` and the blanks after it, each character that file systems forbid as an underscore.
+
+    A name that is nothing but the prefix stays.
+    """
+    name = F.col(column)
+    if prefix:
+        cut = F.ltrim(F.substring(name, len(prefix) + 1, 1 << 20))
+        name = F.when(name.startswith(prefix) & (cut != ""), cut).otherwise(name)
+    return F.regexp_replace(name, r'[\\/:*?"<>|]', "_")
+
+
+def to_sample(column: str, rate: float, plus: int = 0, rounded: bool = False) -> Column:
+    """Seconds to a sample index, cut towards zero, or rounded with halves away from zero."""
+    place = F.col(column) * F.lit(float(rate))
+    return ((F.round(place) if rounded else place) + plus).cast("long")
 
 
 def half_even(column: str | Column, digits: int) -> Column:

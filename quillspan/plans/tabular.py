@@ -164,11 +164,11 @@ def recode_labels(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", new.alias("name"), (new != F.col("event_type")).alias("changed"))
 
 
-@query(r"SELECT page_id, nullif(regexp_extract(url, '://([^/?#.]+)\.', 1), '') AS key, nullif(regexp_extract(url, '/([0-9]+)\.html', 1), '') AS item, regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') AS core FROM pages")
+@query(r"""SELECT page_id, nullif(regexp_extract(url, '://([^/?#.]+)\.', 1), '') AS key, nullif(regexp_extract(url, '/([0-9]+)\.html', 1), '') AS item, regexp_replace(CASE WHEN starts_with(url, 'http://www.') AND ltrim(substr(url, 12)) <> '' THEN ltrim(substr(url, 12)) ELSE url END, '[\\/:*?"<>|]', '_', 'g') AS core FROM pages""")
 def extract_key(spark, d) -> DataFrame:
     from quillspan.functions.labels import file_core, group_of
 
-    return table(spark, d, "pages").select("page_id", group_of("url", r"://([^/?#.]+)\.").alias("key"), group_of("url", r"/([0-9]+)\.html").alias("item"), file_core("url").alias("core"))
+    return table(spark, d, "pages").select("page_id", group_of("url", r"://([^/?#.]+)\.").alias("key"), group_of("url", r"/([0-9]+)\.html").alias("item"), file_core("url", "http://www.").alias("core"))
 
 
 @query(f"WITH {TRUTH_SQL} SELECT event_id, trunc(start_s * 44100)::BIGINT AS first, trunc(stop_s * 44100 + 1)::BIGINT AS after, trunc(stop_s * 44100)::BIGINT - trunc(start_s * 44100)::BIGINT AS n FROM truth")

@@ -1,7 +1,8 @@
-"""Readers: every file is read as text, columns are found by alias and cast with try_cast.
+"""Readers: every file is read as text, columns are found by alias in its own header and cast with try_cast.
 
 Rows that do not parse go to the second DataFrame of `with_rejects`, never silently away; the plain
-readers return the good rows. All files of a folder are one DataFrame with their recording id.
+readers return the good rows. All files of a folder are one DataFrame with their recording id; files
+of one folder may differ in the order, number and names of their columns.
 """
 
 from __future__ import annotations
@@ -15,16 +16,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Accepted column names, in order of preference.
+#: Accepted column names, fixed values; of several the first in the file counts.
 ALIASES = {
     "name": ("name", "label", "syllable"),
     "start_s": ("start_seconds", "start", "t_start", "t_start_s"),
     "stop_s": ("stop_seconds", "stop", "end_seconds", "t_end", "t_end_s"),
-    "f_low_hz": ("f_low_hz", "f_low", "low_hz"),
-    "f_high_hz": ("f_high_hz", "f_high", "high_hz"),
-    "unit_id": ("unit_id", "unit", "id"),
     "channel": ("channel",),
 }
+#: Accepted columns of segment files, fixed values; in each row the first one that is not empty counts.
+SEGMENT_ALIASES = {
+    "start_s": ("t_start_s", "t_start"),
+    "stop_s": ("t_end_s", "t_end"),
+    "f_low_hz": ("f_low_hz", "f_low"),
+    "f_high_hz": ("f_high_hz", "f_high"),
+    "unit_id": ("unit_id",),
+}
+#: Header cells that mark the first row of a label table as a header, fixed values.
+LABEL_HEADERS = ("label", "labels", "type", "class")
+#: Columns of a table that are looked at.
+MOST_COLUMNS = 64
 
 
 def recording_id(suffixes: tuple[str, ...] = ("_annotations", "_segments_info", "_segments", "_MFCC")) -> Column:
@@ -34,9 +44,19 @@ def recording_id(suffixes: tuple[str, ...] = ("_annotations", "_segments_info",
 
 
 def _csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    keep = recording_id().alias("recording_id"), F.col("_metadata.file_path").alias("__file")
-    return df.select(*keep, *(F.trim(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿").lower()) for c in df.columns))
+    """(recording_id, __file, __row, header, cells): rows of tables below their own file's header, both as arrays of trimmed text.
+
+    The first row of each file is its header. Quoted cells may hold line breaks. MOST_COLUMNS columns
+    are read.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+    raw = spark.read.schema(schema).option("header", False).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    cells = F.transform(F.array(*raw.columns), lambda c: F.trim(c))
+    rows = raw.select(recording_id().alias("recording_id"), F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"), cells.alias("cells"))
+    heads = rows.groupBy("__file").agg(F.min(F.struct("__row", "cells")).alias("h"))
+    clean = F.transform("h.cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    out = rows.join(heads.select("__file", clean.alias("header"), F.col("h.__row").alias("__first")), "__file")
+    return out.where(F.col("__row") > F.col("__first")).select("recording_id", "__file", "__row", "header", "cells")
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -45,13 +65,14 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(",;\t|", key=(line["value"] if line else "").count)
 
 
-def _find(df: DataFrame, field: str) -> str | None:
-    return next((a for a in ALIASES[field] if a in df.columns), None)
+def _place(names: tuple[str, ...], exact: bool = False) -> Column:
+    """Place, from 0, of the first column of the file's header that has one of the names; null where none has."""
+    places = F.transform("header", lambda h, i: F.when((h if exact else F.lower(h)).isin(*names), i))
+    return F.array_min(F.filter(places, lambda i: i.isNotNull()))
 
 
-def _number(df: DataFrame, field: str) -> Column:
-    found = _find(df, field)
-    return F.col(found).try_cast("double") if found else F.lit(None).cast("double")
+def _cell(place: Column) -> Column:
+    return F.get("cells", place)
 
 
 def with_rejects(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -66,38 +87,43 @@ def with_rejects(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFr
 def intervals(spark: SparkSession, path: str | list[str], strict: bool = False, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """Interval files: (recording_id, name, start_s, stop_s, channel) and rejects.
 
-    `strict` wants the columns name, start_seconds and stop_seconds; otherwise aliases count and
-    the first column stands in for a missing name. NaN times are kept.
+    `strict` wants the columns name, start_seconds and stop_seconds in every file and takes no
+    names "nan"; otherwise aliases count and the first column stands in for a missing name. NaN
+    times are kept.
     """
     raw = _csv(spark, path, sep)
-    if strict and not {"name", "start_seconds", "stop_seconds"} <= set(raw.columns):
-        raise ValueError(f"columns name, start_seconds, stop_seconds expected, found {raw.columns[2:]}")
-    name = _find(raw, "name") or raw.columns[2]
-    df = raw.select("recording_id", F.col(name).alias("name"), _number(raw, "start_s").alias("start_s"), _number(raw, "stop_s").alias("stop_s"), _number(raw, "channel").alias("channel"))
-    empty = F.col("name").isNull() | (F.col("name") == "") | (F.lower("name") == "nan")
+    at = {f: _place((ALIASES[f][0],) if strict else ALIASES[f]) for f in ("name", "start_s", "stop_s")}
+    if strict:
+        whole = at["name"].isNotNull() & at["start_s"].isNotNull() & at["stop_s"].isNotNull()
+        missing = F.raise_error(F.concat(F.lit("columns name, start_seconds, stop_seconds expected in "), F.col("__file")))
+        raw = raw.withColumn("cells", F.when(whole, F.col("cells")).otherwise(missing.cast("array<string>")))
+    number = lambda place: _cell(place).try_cast("double")
+    df = raw.select("recording_id", _cell(F.coalesce(at["name"], F.lit(0))).alias("name"), number(at["start_s"]).alias("start_s"), number(at["stop_s"]).alias("stop_s"), number(_place(ALIASES["channel"])).alias("channel"))
+    empty = F.col("name").isNull() | (F.col("name") == "") | (F.lower("name") == "nan" if strict else F.lit(False))
     return with_rejects(df, [("no name", empty), ("bad start", F.col("start_s").isNull()), ("bad stop", F.col("stop_s").isNull())])
 
 
 def segments(spark: SparkSession, path: str | list[str], checked: bool = True) -> tuple[DataFrame, DataFrame]:
     """Segment files: (recording_id, unit_id, start_s, stop_s, f_low_hz, f_high_hz) and rejects.
 
-    A missing unit id is the row's ordinal from 0. `checked` rejects empty spans and bands.
+    A missing unit id is the row's ordinal from 0. `checked` rejects rows without a band, empty
+    spans and empty bands.
     """
-    raw = _csv(spark, path).withColumn("__row", F.monotonically_increasing_id())
-    unit = _find(raw, "unit_id")
+    raw = _csv(spark, path)
+    found = lambda f: F.coalesce(*(F.nullif(_cell(_place((a,), exact=True)), F.lit("")) for a in SEGMENT_ALIASES[f]))
     ordinal = F.row_number().over(Window.partitionBy("__file").orderBy("__row")) - 1
-    given = F.col(unit).try_cast("long") if unit else F.lit(None).cast("long")
-    df = raw.select("recording_id", F.coalesce(given, ordinal).alias("unit_id"), *(_number(raw, f).alias(f) for f in ("start_s", "stop_s", "f_low_hz", "f_high_hz")))
+    number = lambda f: found(f).try_cast("double").alias(f)
+    df = raw.select("recording_id", F.coalesce(found("unit_id").try_cast("long"), ordinal).alias("unit_id"), *(number(f) for f in ("start_s", "stop_s", "f_low_hz", "f_high_hz")))
     rules = [("bad time", F.col("start_s").isNull() | F.col("stop_s").isNull())]
     if checked:
-        rules += [("empty span", F.col("stop_s") <= F.col("start_s")), ("empty band", F.coalesce(F.col("f_high_hz") <= F.col("f_low_hz"), F.lit(False)))]
+        rules += [("no band", F.col("f_low_hz").isNull() | F.col("f_high_hz").isNull()), ("empty span", F.col("stop_s") <= F.col("start_s")), ("empty band", F.col("f_high_hz") <= F.col("f_low_hz"))]
     return with_rejects(df, rules)
 
 
 def segments_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines `Unit n: a s - b s | lo-hi Hz` as segments with valid spans and bands."""
+    """Lines `Unit n: a s - b s | lo-hi Hz`, the bar optional, as segments with valid spans and bands."""
     number = r"([0-9.]+)"
-    line = rf"Unit\s+(\d+):\s*{number}\s*s\s*-\s*{number}\s*s\s*\|\s*{number}\s*-\s*{number}\s*Hz"
+    line = rf"^\s*Unit\s+(\d+):\s*{number}\s*s\s*-\s*{number}\s*s\s*\|?\s*{number}\s*-\s*{number}\s*Hz\s*$"
     part = lambda k, kind: F.regexp_extract("value", line, k).try_cast(kind)
     rows = spark.read.text(path).select(recording_id().alias("recording_id"), part(1, "long").alias("unit_id"), part(2, "double").alias("start_s"), part(3, "double").alias("stop_s"), part(4, "double").alias("f_low_hz"), part(5, "double").alias("f_high_hz"))
     return rows.where("stop_s > start_s and f_high_hz > f_low_hz")
@@ -123,10 +149,34 @@ def matrix(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return body.select("recording_id", unit.cast("long").alias("unit_id"), checked.alias("values"))
 
 
-def label_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(recording_id, unit_id, label): one label a line; a blank line is a unit without a label."""
-    rows = spark.read.option("wholetext", True).text(path).select(recording_id().alias("recording_id"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("unit_id", "label"))
-    return rows.select("recording_id", F.col("unit_id").cast("long").alias("unit_id"), F.nullif(F.trim("label"), F.lit("")).alias("label"))
+def label_lines(spark: SparkSession, path: str | list[str], blanks: bool = False) -> DataFrame:
+    """(recording_id, unit_id, label): one label a line, or the first cell of each row of a .csv file.
+
+    Blank lines are skipped, so that labels stay at the places of a positional join; with `blanks`
+    they are units without a label. A first row of a table that names the column is its header.
+    """
+    rows = spark.read.option("wholetext", True).text(path).select(recording_id().alias("recording_id"), F.lower("_metadata.file_path").endswith(".csv").alias("__table"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
+    quoted = F.regexp_extract("value", r'^\s*"((?:[^"]|"")*)"', 1)
+    cell = F.when(F.col("value").rlike(r'^\s*"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.get(F.split("value", ","), F.lit(0)))
+    label = F.trim(F.regexp_replace(F.when(F.col("__table"), cell).otherwise(F.col("value")), "^\ufeff", ""))
+    rows = rows.withColumn("label", F.nullif(label, F.lit("")))
+    header = F.col("__table") & (F.col("line") == 0) & F.coalesce(F.lower("label").isin(*LABEL_HEADERS), F.lit(False))
+    rows = rows.where(~header)
+    if not blanks:
+        rows = rows.where("label is not null")
+    unit = F.row_number().over(Window.partitionBy("recording_id").orderBy("line")) - 1
+    return rows.select("recording_id", unit.cast("long").alias("unit_id"), "label")
+
+
+def is_segment_table(path: Column) -> Column:
+    """Whether a file is a table of segments: its stem ends in _segments and is no table of their remarks."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
+    return stem.endswith("_segments") & ~stem.contains("_segments_info")
+
+
+def is_feature_table(path: Column) -> Column:
+    """Whether a file is a table of features: its name ends in _MFCC.csv."""
+    return F.lower(path).endswith("_mfcc.csv")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
