@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -64,51 +66,95 @@ def dct(x: np.ndarray, keep: int) -> np.ndarray:
     return x @ basis
 
 
-def delta(x: np.ndarray, width: int = 9) -> np.ndarray:
-    """Slopes of least-squares lines over `width` (odd) frames along axis 0, edges repeated."""
+def delta(x: np.ndarray, width: int = 9, order: int = 1) -> np.ndarray:
+    """Derivatives of the given order of least-squares polynomials of that order over `width` (odd) frames along axis 0.
+
+    Frames nearer to an end than half the width have the value of the outermost whole window.
+    """
     half = width // 2
     k = np.arange(-half, half + 1)
-    padded = np.pad(x, ((half, half), *((0, 0),) * (x.ndim - 1)), mode="edge")
-    return sum(kk * padded[half + kk : half + kk + len(x)] for kk in k) / (k**2).sum()
+    weights = np.linalg.pinv(np.vander(k.astype(float), order + 1, increasing=True))[order] * math.factorial(order)
+    inner = sum(w * x[i : len(x) - width + 1 + i] for i, w in enumerate(weights))
+    return np.pad(inner, ((half, half), *((0, 0),) * (x.ndim - 1)), mode="edge")
+
+
+def slope_width(frames: int, most: int = 9, least: int = 3) -> int | None:
+    """The widest odd width up to `most` that the frames fill; None below `least`."""
+    width = min(frames, most)
+    width -= 1 - width % 2
+    return width if width >= least else None
 
 
 def fitting_fft(n: int, most: int = 1024) -> int:
-    """The largest power of two that fits both the samples and `most`."""
-    return 1 << (max(1, min(n, most)).bit_length() - 1)
+    """The largest power of two that fits both the samples and `most`, 2 at least."""
+    return 1 << (max(2, min(n, most)).bit_length() - 1)
+
+
+def centred_spectrogram(x: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
+    """(frame, bin) magnitude of Hann-windowed frames centred at multiples of the hop, zeros beyond the ends."""
+    wide = np.pad(np.asarray(x, float), n_fft // 2)
+    return np.abs(np.fft.rfft(frames_of(wide, n_fft, hop) * hann(n_fft), axis=1))
+
+
+def levels(power: np.ndarray, reference: float = 1.0, depth: float = 80.0) -> np.ndarray:
+    """Decibels over a reference, not more than `depth` below the largest."""
+    db = 10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(max(reference, 1e-10))
+    return np.maximum(db, db.max() - depth) if db.size else db
+
+
+#: Fixed values of the cepstral features: transform, hop, bands, coefficients.
+N_FFT, HOP, BANDS, COEFFICIENTS = 760, 256, 128, 13
 
 
-def mfcc(x: np.ndarray, rate: float, coefficients: int = 13, bands: int = 26, n_fft: int = 1024) -> np.ndarray:
-    """(frame, coefficient) cepstra of log mel energies, the transform adapted to short signals."""
+def mfcc(x: np.ndarray, rate: float, coefficients: int = COEFFICIENTS, bands: int = BANDS, n_fft: int = N_FFT, hop: int = HOP) -> np.ndarray:
+    """(frame, coefficient) cepstra of mel levels, the transform adapted to short signals."""
     size = fitting_fft(len(x), n_fft)
-    power = power_spectrogram(x, size, max(1, size // 4))
-    return dct(10 * np.log10(np.maximum(power @ mel_bank(rate, size, bands).T, 1e-10)), coefficients)
+    power = centred_spectrogram(x, size, hop) ** 2
+    return dct(levels(power @ mel_bank(rate, size, bands).T), coefficients)
 
 
-def mfcc_statistics(x: np.ndarray, rate: float, coefficients: int = 13) -> np.ndarray:
-    """Means and population deviations of cepstra and their first and second slopes."""
-    c = mfcc(x, rate, coefficients)
-    width = min(9, len(c) - (1 - len(c) % 2))
-    d = delta(c, width) if width >= 3 else np.zeros_like(c)
-    dd = delta(d, width) if width >= 3 else np.zeros_like(c)
-    return np.concatenate([v for y in (c, d, dd) for v in (y.mean(axis=0), y.std(axis=0))]) if len(c) else np.full(6 * coefficients, np.nan)
+def mfcc_statistics(x: np.ndarray, rate: float, coefficients: int = COEFFICIENTS, **options) -> np.ndarray | None:
+    """Means and population deviations of cepstra and their first and second slopes; None for fewer than three frames."""
+    c = mfcc(x, rate, coefficients, **options)
+    width = slope_width(len(c))
+    if width is None:
+        return None
+    return np.concatenate([v for y in (c, delta(c, width), delta(c, width, 2)) for v in (y.mean(axis=0), y.std(axis=0))])
 
 
-def spectral_statistics(x: np.ndarray, rate: float, n_fft: int = 1024, share: float = 0.85) -> dict[str, float]:
-    """Means and deviations of centroid, bandwidth and roll-off, mean flatness and level."""
+def spectral_statistics(x: np.ndarray, rate: float, n_fft: int = N_FFT, hop: int = HOP, share: float = 0.85) -> dict[str, float]:
+    """Means and deviations over time of the magnitude's centroid, bandwidth and roll-off."""
     size = fitting_fft(len(x), n_fft)
-    s = np.sqrt(power_spectrogram(x, size, max(1, size // 4)))
-    if not len(s):
-        return {}
+    s = centred_spectrogram(x, size, hop)
     f = np.arange(s.shape[1]) * rate / size
-    total = np.maximum(s.sum(axis=1), 1e-12)
-    centroid = s @ f / total
-    width = np.sqrt((s * (f[None, :] - centroid[:, None]) ** 2).sum(axis=1) / total)
-    roll = f[(np.cumsum(s, axis=1) >= share * s.sum(axis=1, keepdims=True)).argmax(axis=1)]
-    flat = np.exp(np.log(np.maximum(s**2, 1e-10)).mean(axis=1)) / np.maximum((s**2).mean(axis=1), 1e-10)
-    out = {}
-    for name, v in (("centroid", centroid), ("bandwidth", width), ("rolloff", roll), ("flatness", flat)):
-        out |= {f"{name}_mean": float(v.mean()), f"{name}_std": float(v.std())}
-    return out
+    total = s.sum(axis=1)
+    p = s / np.where(total > 0, total, 1)[:, None]
+    centroid = p @ f
+    width = np.sqrt((p * (f[None, :] - centroid[:, None]) ** 2).sum(axis=1))
+    roll = f[(np.cumsum(s, axis=1) >= share * total[:, None]).argmax(axis=1)]
+    return {f"{name}_{kind}": float(g(v)) for name, v in (("centroid", centroid), ("bandwidth", width), ("rolloff", roll)) for kind, g in (("mean", np.mean), ("std", np.std))}
+
+
+def shape_features(s: np.ndarray) -> tuple[float, float]:
+    """Bins above the upper quartile of a (frame, bin) spectrogram, and frames per bin."""
+    return float((s > np.percentile(s, 75)).sum()), s.shape[0] / max(s.shape[1], 1)
+
+
+def segment_features(x: np.ndarray, rate: float, start: float, stop: float, low: float, high: float) -> np.ndarray | None:
+    """The 88 features of a segment's samples in the order of feature_names(); None where the slopes have too few frames."""
+    cepstra = mfcc_statistics(x, rate)
+    if cepstra is None:
+        return None
+    shape = shape_features(centred_spectrogram(x, fitting_fft(len(x), N_FFT), HOP))
+    return np.concatenate([cepstra, [stop - start, high - low], list(spectral_statistics(x, rate).values()), shape])
+
+
+def feature_names(coefficients: int = COEFFICIENTS) -> list[str]:
+    """Names of a segment's features in their order."""
+    names = [f"{kind}_{stat}_{i}" for kind in ("mfcc", "delta", "delta2") for stat in ("mean", "std") for i in range(1, coefficients + 1)]
+    names += ["duration", "bandwidth"]
+    names += [f"spectral_{kind}_{stat}" for kind in ("centroid", "bandwidth", "rolloff") for stat in ("mean", "std")]
+    return [*names, "shape_total_pixels", "shape_aspect_ratio"]
 
 
 def resample(x: np.ndarray, rate_in: int, rate_out: int, zeros: int = 16) -> np.ndarray:
@@ -120,10 +166,15 @@ def resample(x: np.ndarray, rate_in: int, rate_out: int, zeros: int = 16) -> np.
     cut = min(1.0, up / down)
     at = np.arange(n) * down / up
     half = int(np.ceil(zeros / cut))
-    k = np.floor(at).astype(int)[:, None] + np.arange(-half + 1, half + 1)[None, :]
-    t = at[:, None] - k
-    w = cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / half, -1, 1)))
-    return np.where((k >= 0) & (k < len(x)), np.asarray(x, float)[np.clip(k, 0, len(x) - 1)], 0.0).__mul__(w).sum(axis=1)
+    x, out = np.asarray(x, float), np.empty(n)
+    step = max(1, (1 << 20) // (2 * half))  # outputs at a time, so that memory does not follow the recording
+    for a in range(0, n, step):
+        place = at[a : a + step]
+        k = np.floor(place).astype(int)[:, None] + np.arange(-half + 1, half + 1)[None, :]
+        t = place[:, None] - k
+        w = cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / half, -1, 1)))
+        out[a : a + step] = (np.where((k >= 0) & (k < len(x)), x[np.clip(k, 0, len(x) - 1)], 0.0) * w).sum(axis=1)
+    return out
 
 
 def butterworth(order: int, low: float, high: float, rate: float) -> np.ndarray:
@@ -143,15 +194,34 @@ def butterworth(order: int, low: float, high: float, rate: float) -> np.ndarray:
     return sections
 
 
-def _sections(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
+def _sections(x: np.ndarray, sections: np.ndarray, block: int = 128) -> np.ndarray:
+    """Second-order sections one after the other, each by blocks.
+
+    A block's answer is that to its own input, one matrix product for all blocks, and that to the
+    two values kept at its start, which alone are carried from block to block.
+    """
+    n = len(x)
     for b0, b1, b2, a1, a2 in sections:
-        y = np.empty(len(x))
-        u = v = 0.0
-        for i, s in enumerate(x):
-            o = b0 * s + u
-            u, v = b1 * s - a1 * o + v, b2 * s - a2 * o
-            y[i] = o
-        x = y
+        step = np.array([[-a1, 1.0], [-a2, 0.0]])
+        gain = np.array([b1 - a1 * b0, b2 - a2 * b0])
+        reach, enter = np.empty((block, 2)), np.empty((block, 2))  # output of a kept state, state left by an input
+        power = np.eye(2)
+        for i in range(block):
+            reach[i] = power[0]
+            enter[block - 1 - i] = power @ gain
+            power = step @ power
+        answer = np.zeros(block)
+        answer[0] = b0
+        answer[1:] = reach[: block - 1] @ gain
+        rows = np.pad(x, (0, -n % block)).reshape(-1, block)
+        at = np.arange(block)
+        own = rows @ np.where(at[None, :] >= at[:, None], answer[np.maximum(at[None, :] - at[:, None], 0)], 0.0)
+        left = rows @ enter
+        states, state = np.empty((len(rows), 2)), np.zeros(2)
+        for k in range(len(rows)):
+            states[k] = state
+            state = power @ state + left[k]
+        x = (own + states @ reach.T).ravel()[:n]
     return x
 
 

@@ -7,25 +7,34 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+Layer = tuple[np.ndarray, np.ndarray]  # kernel (width, channels in, channels out) and bias
+
+
 @dataclass
 class Network:
-    """Weights by layer: kernels are (width, channels in, channels out)."""
+    """Weights by layer: the first 1x1 convolution, a dilated one and a 1x1 one per block, the softmax head."""
 
-    kernels: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    first: Layer
+    blocks: list[tuple[Layer, Layer]] = field(default_factory=list)
     dilations: list[int] = field(default_factory=list)
-    head: tuple[np.ndarray, np.ndarray] | None = None
+    head: Layer | None = None
+    activation: str = "norm_relu"
+    skips: bool = True
+    front: tuple[int, int] | None = None  # transform length and hop of a spectrogram before the network
+    upsample: bool = True
 
 
-def make(channels: int, filters: int, classes: int, width: int = 3, dilations: tuple[int, ...] = (1, 2, 4, 8), stacks: int = 1, seed: int = 0) -> Network:
-    """A network of small random weights, a function of the seed."""
+def make(channels: int, filters: int, classes: int, width: int = 3, dilations: tuple[int, ...] = (1, 2, 4, 8), stacks: int = 1, seed: int = 0, front: tuple[int, int] | None = None, **options) -> Network:
+    """A network of small random weights, a function of the seed; with `front`, the transform's bins are its channels."""
     rng = np.random.default_rng(seed)
-    net, last = Network(), channels
+    layer = lambda w, a, b: (rng.normal(0, (w * a) ** -0.5, (w, a, b)), np.zeros(b))
+    bins = channels * (front[0] // 2 + 1) if front else channels
+    net = Network(layer(1, bins, filters), front=front, **options)
     for _ in range(stacks):
-        for d in dilations:
-            net.kernels.append((rng.normal(0, (width * last) ** -0.5, (width, last, filters)), rng.normal(0, last**-0.5, (last, filters))))
+        for d in adjusted(list(dilations)):
+            net.blocks.append((layer(width, filters, filters), layer(1, filters, filters)))
             net.dilations.append(d)
-            last = filters
-    net.head = rng.normal(0, filters**-0.5, (filters, classes)), np.zeros(classes)
+    net.head = layer(1, filters, classes)
     return net
 
 
@@ -49,20 +58,72 @@ def conv(x: np.ndarray, kernel: np.ndarray, dilation: int, causal: bool = True)
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
-    """Each channel over its largest absolute value."""
+    """Each moment over its largest absolute channel."""
     return x / (np.abs(x).max(axis=1, keepdims=True) + 1e-5)
 
 
+def activated(x: np.ndarray, kind: str) -> np.ndarray:
+    """norm_relu, wavenet (tanh times sigmoid), relu, tanh or linear."""
+    if kind == "norm_relu":
+        return normalised(np.maximum(x, 0))
+    if kind == "wavenet":
+        return np.tanh(x) / (1 + np.exp(-x))
+    return {"relu": lambda v: np.maximum(v, 0), "tanh": np.tanh, "linear": lambda v: v}[kind](x)
+
+
+def residual_block(x: np.ndarray, block: tuple[Layer, Layer], dilation: int, activation: str = "norm_relu", causal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(input plus the block's output, the output): dilated convolution, activation, 1x1 convolution."""
+    (kernel, bias), (side, side_bias) = block
+    made = conv(activated(conv(x, kernel, dilation, causal) + bias, activation), side, 1, causal) + side_bias
+    return x + made, made
+
+
+def spectrogram_front(x: np.ndarray, n_dft: int, hop: int) -> np.ndarray:
+    """(frame, bin * channel): decibels of the amplitude of Hann-windowed frames, `same` padding, relative to the largest, cut at -80."""
+    n = -(-len(x) // hop)
+    need = max((n - 1) * hop + n_dft - len(x), 0)
+    wide = np.pad(x, ((need // 2, need - need // 2), (0, 0)))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_dft) / n_dft)
+    frames = np.stack([wide[k * hop : k * hop + n_dft] * window[:, None] for k in range(n)])
+    db = 10 * np.log10(np.maximum(np.abs(np.fft.rfft(frames, axis=1)), 1e-10))
+    return np.maximum(db - db.max(), -80.0).reshape(n, -1)
+
+
 def forward(net: Network, x: np.ndarray, causal: bool = False) -> np.ndarray:
-    """(time, class) probabilities of (time, channel) input: residual blocks, summed skips, softmax."""
-    skips = 0.0
-    for (kernel, side), dilation in zip(net.kernels, net.dilations):
-        made = normalised(np.maximum(conv(x, kernel, dilation, causal), 0))
-        skips = skips + made
-        x = made + (x @ side if x.shape[1] != made.shape[1] else x)
-    z = np.maximum(skips, 0) @ net.head[0] + net.head[1]
+    """(time, class) probabilities of (time, channel) input.
+
+    A 1x1 convolution, residual blocks, the sum of their outputs (without skips the last block's
+    sum), relu, dense softmax. With a front, the network runs on its frames and the result is
+    repeated to the input's rate.
+    """
+    if not len(x):
+        return np.zeros((0, net.head[0].shape[2]))
+    n = len(x)
+    if net.front:
+        x = spectrogram_front(x, *net.front)
+    x = conv(x, net.first[0], 1, causal) + net.first[1]
+    outputs = 0.0
+    for block, dilation in zip(net.blocks, net.dilations):
+        x, made = residual_block(x, block, dilation, net.activation, causal)
+        outputs = outputs + made
+    z = conv(np.maximum(outputs if net.skips else x, 0), net.head[0], 1) + net.head[1]
     z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    p = z / z.sum(axis=1, keepdims=True)
+    return np.repeat(p, net.front[1], axis=0)[:n] if net.front and net.upsample else p
+
+
+def tcn(channels: int, classes: int, filters: int = 16, width: int = 3, dilations: tuple[int, ...] = (1, 2, 4, 8, 16), stacks: int = 1, **options) -> Network:
+    """The plain network with its published defaults."""
+    return make(channels, filters, classes, width, dilations, stacks, **options)
+
+
+def tcn_stft(channels: int, classes: int, pre: int = 0, n_dft: int = 64, **options) -> Network:
+    """The network behind a spectrogram of hop 2**pre; pre = 0 is the plain one."""
+    return tcn(channels, classes, front=(n_dft, 2**pre) if pre else None, **options)
+
+
+#: Builders by name.
+MODELS = {"tcn": tcn_stft, "tcn_stft": tcn_stft}
 
 
 def temporal_loss(p: np.ndarray, y: np.ndarray, tau: float = 4.0) -> float:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,30 +48,38 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
     return rows.withColumn("fold", fold).drop("__r", "__n")
 
 
-def nearest_neighbours(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """(query, neighbour, distance): the k rows nearest each stated query, itself left out.
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024, parts: int = 32) -> DataFrame:
+    """(query, neighbour, distance, place): the k rows nearest each stated query, itself left out.
 
-    Queries are a stated set and go to the tasks in blocks; each task keeps k of its own rows a
-    query, so only those are shuffled. Ties go to the smaller key.
+    Queries come in blocks of about `block`, rows in `parts` parts; every block meets every part in a
+    task of its own, which keeps k of its rows a query, and only those go on. Nothing passes the
+    driver, and no task holds more than a block and the running best. Ties go to the smaller key.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], float)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), float)
-            for at in range(0, len(ids), block):
-                d = ((vectors[at : at + block, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) * block * x.shape[1] < 1 << 24 else np.stack([((v - x) ** 2).sum(axis=1) for v in vectors[at : at + block]])
-                for i, row in enumerate(np.round(np.sqrt(d), 9)):
-                    row[own == ids[at + i]] = np.inf
-                    top = np.lexsort((own, row))[:k]
-                    best[at + i] = sorted(best[at + i] + [(float(row[j]), int(own[j])) for j in top if np.isfinite(row[j])])[:k]
-        out = [(int(q), n, d) for q, found in zip(ids, best) for d, n in found]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "neighbour", "distance"])
-
-    found = rows.select(key, vector).mapInArrow(run, "query long, neighbour long, distance double")
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    asked = queries.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("q"))
+    held = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key, F.lit(5)), F.lit(parts)).alias("p"))
+    left = asked.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    right = held.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if a.num_rows and b.num_rows:
+            ids, vectors = a["key"].to_numpy(), np.array(a["v"].to_pylist(), float)
+            best_d, best_i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+            for batch in b.to_batches(max_chunksize=2048):
+                own, x = batch["key"].to_numpy(), np.array(batch["v"].to_pylist(), float)
+                for i, v in enumerate(vectors):
+                    d = np.round(np.sqrt(((x - v) ** 2).sum(axis=1)), 9)
+                    d[own == ids[i]] = np.inf
+                    both, who = np.concatenate([best_d[i], d]), np.concatenate([best_i[i], own])
+                    top = np.lexsort((who, both))[:k]
+                    best_d[i], best_i[i] = both[top], who[top]
+            i, j = np.nonzero(np.isfinite(best_d))
+            out = ids[i].tolist(), best_i[i, j].tolist(), best_d[i, j].tolist()
+        return pa.table({"query": pa.array(out[0], pa.int64()), "neighbour": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+
+    found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(run, "query long, neighbour long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -100,31 +106,54 @@ def embedded(df: DataFrame, k: int = 2) -> DataFrame:
 
 
 def models() -> dict:
-    """The three candidate classifiers; the kernel machine is a linear one, as Spark has no RBF kernel."""
+    """The three candidate classifiers; the kernel machine is a linear one, as Spark has no RBF kernel.
+
+    The linear machine and logistic regression scale the features themselves.
+    """
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 
     return {
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=1000), labelCol="label", featuresCol="features"),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=1000), labelCol="label", featuresCol="features", parallelism=4),
         "random_forest": RandomForestClassifier(numTrees=200, seed=42, labelCol="label", featuresCol="features"),
         "logistic_regression": LogisticRegression(maxIter=1000, labelCol="label", featuresCol="features"),
     }
 
 
-def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("linear_svm", "random_forest", "logistic_regression")) -> DataFrame:
+def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("linear_svm", "random_forest", "logistic_regression"), parallelism: int = 4, rows_a_part: int = 20_000) -> DataFrame:
     """(model, mean_accuracy, std_accuracy, mean_f1, std_f1, best) over the `fold` column; deviations are of the population.
 
-    `best` marks the largest mean macro F1, of equal ones the first in `names`.
+    `best` marks the largest mean macro F1, of equal ones the first in `names`. The rows are kept in
+    memory, in parts of about `rows_a_part`, since training reads them many times; `parallelism`
+    fits run at once.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
     from quillspan.operators.metrics import confusion, from_confusion, prf, summary
 
-    rows = None
-    for name in names:
-        for fold in range(folds):
-            fitted = models()[name].fit(df.where(F.col("fold") != fold))
-            told = fitted.transform(df.where(F.col("fold") == fold)).select(F.col("label").cast("int").cast("string").alias("t"), F.col("prediction").cast("int").cast("string").alias("p"))
-            one = summary(prf(from_confusion(confusion(told)))).select(F.lit(name).alias("model"), "accuracy", "macro_f1")
-            rows = one if rows is None else rows.union(one)
-    out = rows.groupBy("model").agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("std_f1"))
+    rows = df.select("label", "features", "fold")
+    rows = rows.repartition(max(1, -(-rows.count() // rows_a_part)), F.xxhash64("features", "label")).persist()
+
+    def one(task: tuple[str, int]) -> tuple[str, float, float]:
+        name, fold = task
+        told = models()[name].fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
+        pairs = told.select(F.col("label").cast("int").cast("string").alias("t"), F.col("prediction").cast("int").cast("string").alias("p"))
+        row = summary(prf(from_confusion(confusion(pairs)))).first()  # a row
+        return name, row["accuracy"], row["macro_f1"]
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(df.sparkSession)(one), [(name, fold) for name in names for fold in range(folds)])
+    finally:
+        rows.unpersist()
+    made = df.sparkSession.createDataFrame([x for x in found if x[1] is not None], "model string, accuracy double, macro_f1 double")
+    out = made.groupBy("model").agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("std_f1"))
     place = F.array_position(F.lit(list(names)), F.col("model"))
     first = F.row_number().over(Window.orderBy(F.desc("mean_f1"), place))  # a row per model
     return out.withColumn("best", first == 1)
+
+
+def refitted(df: DataFrame, scores: DataFrame):
+    """The best model of cross_validated(), fitted on all rows."""
+    return models()[scores.where("best").first()["model"]].fit(df)

@@ -57,6 +57,22 @@ def described(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> Da
     return out.select(*keys, "n", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r(F.col("q")[0]).alias("p25"), r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p75"), r("max").alias("max"))
 
 
+def with_pitch(stats: DataFrame, pitch: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """Statistics with the mean of `f0_hz` of the same keys; null where none was measured."""
+    return stats.join(pitch.groupBy(*keys).agg(F.round(F.avg("f0_hz"), digits).alias("f0_mean")), keys, "left")
+
+
+def age_report(songs: DataFrame, digits: int = 3) -> DataFrame:
+    """(age, file, song_length): the songs, then each group's average and the difference of Young and Old."""
+    r = lambda c: F.round(c, digits)
+    mean = lambda age: F.avg(F.when(F.col("age") == age, F.col("song_length")))
+    means = songs.agg(mean("Old").alias("o"), mean("Young").alias("y"))
+    line = lambda age, file, value: F.struct(F.lit(age).alias("age"), F.lit(file).alias("file"), r(value).alias("song_length"))
+    o, y = F.col("o"), F.col("y")
+    rows = F.array(line("Old", "Average", o), line("Young", "Average", y), line("Diff(Young-Old)", "Average_Song_Length_Diff", y - o))
+    return songs.select("age", "file", r("song_length").alias("song_length")).unionByName(means.select(F.inline(rows)))
+
+
 def as_letters(names: Column, alphabet: list[str]) -> Column:
     """A label array as a string of one letter each, for edit distances over whole labels."""
     table = F.create_map(*(x for i, a in enumerate(alphabet) for x in (F.lit(a), F.lit(chr(0x100 + i)))))

@@ -19,6 +19,36 @@ def windows_of(x: str, size: int, stride: int, batch: int = 1) -> Column:
     return F.transform(index, lambda i: F.slice(x, i * stride + 1, size))
 
 
+def training_windows(df: DataFrame, key: str, x: str, y: str, size: int, stride: int = 1, batch: int = 1, offset: int | None = None, sequence: bool = False, output_stride: int = 1, padding: int = 0, mask: int | None = None, class_weights: list[float] | None = None, share: float | None = None, seed: int = 0) -> DataFrame:
+    """(key, window_id, x, y, w): windows of samples with their targets and weights.
+
+    `y` holds an array of class probabilities per sample. A window's target is that of the sample at
+    `offset` (the middle one) or, as a `sequence`, every `output_stride`-th one of the window. The
+    weights of a sequence are 0 for `padding` places at both ends; with `class_weights`, a place's
+    weight is that of its largest class. `mask` zeroes that many samples on each side of the middle.
+    `share` keeps a drawn part of the windows, chosen by hash, alike on every run. Only whole
+    batches of windows count.
+    """
+    rows = df.select(key, F.posexplode(windows_of(x, size, stride, batch)).alias("window_id", "x"), F.col(y).alias("__y"))
+    if share is not None:
+        draw = F.shiftrightunsigned(F.xxhash64(key, "window_id", F.lit(seed)), 11) / float(1 << 53)
+        rows = rows.where(draw < share)
+    first = F.col("window_id") * stride
+    if sequence:
+        places = F.sequence(F.lit(0), F.lit((size // output_stride - 1) * output_stride), F.lit(output_stride))
+        target = F.transform(places, lambda i: F.get("__y", first + i))
+        best = lambda p: F.array_position(p, F.array_max(p)).cast("int")
+        n = size // output_stride
+        inside = lambda i: (i >= padding) & (i < n - padding)
+        weight = F.transform("y", lambda p, i: F.when(inside(i), 1.0 if class_weights is None else F.get(F.array(*(F.lit(float(c)) for c in class_weights)), best(p) - 1)).otherwise(0.0))
+    else:
+        target = F.get("__y", first + (size // 2 if offset is None else offset))
+        weight = F.lit(1.0) if class_weights is None else F.get(F.array(*(F.lit(float(c)) for c in class_weights)), F.array_position("y", F.array_max("y")).cast("int") - 1)
+    if mask is not None:
+        rows = rows.withColumn("x", F.transform("x", lambda v, i: F.when((i >= int(size / 2 - mask)) & (i < int(size / 2 + mask)), 0.0).otherwise(v)))
+    return rows.withColumn("y", target).withColumn("w", weight).select(key, F.col("window_id").cast("long").alias("window_id"), "x", "y", "w")
+
+
 def total(x: str | Column) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -50,10 +80,15 @@ def spectral_shape(df: DataFrame, power: str, rate: float, size: int, share: flo
     return df.withColumns({"flatness": flat, "entropy": entropy}).drop("__f", "__t", "__c")
 
 
-def z_scores(df: DataFrame, axis: list[str], value: str = "x") -> Column:
-    """Value less its mean over its population deviation along an axis."""
-    w = Window.partitionBy(*axis)
-    return (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + F.lit(1e-10))
+def z_scores(df: DataFrame, axis: list[str], value: str = "x", name: str = "z") -> DataFrame:
+    """Adds `name`: the value less its mean over its population deviation along an axis (none: of all rows).
+
+    The statistics are aggregated before they are shuffled and joined back, so an axis with few
+    places does not gather all rows in as many tasks.
+    """
+    stats = df.groupBy(*axis).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    both = df.join(stats, axis) if axis else df.join(F.broadcast(stats))  # one row without an axis
+    return both.withColumn(name, (F.col(value) - F.col("__m")) / (F.col("__s") + F.lit(1e-10))).drop("__m", "__s")
 
 
 def _around(keys: list[str], at: str, before: int, after: int):
@@ -103,12 +138,12 @@ def flattened(windows: DataFrame, keys: list[str], array: str, stride: int, marg
 
 
 def kernel(df: DataFrame, key: str, samples: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, values): a numpy kernel on each row's samples, by Arrow batches; null or empty samples give null."""
+    """(key, values): a numpy kernel on each row's samples, by Arrow batches; null or empty samples give null, and so does a kernel's None."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if not x else np.asarray(f(np.asarray(x, float)), float).ravel().tolist() for x in batch.column(1).to_pylist()]
+            made = [None if not x or (y := f(np.asarray(x, float))) is None else np.asarray(y, float).ravel().tolist() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["key", "values"])
 
     return df.select(F.col(key).alias("key"), F.col(samples).alias("x")).mapInArrow(run, f"key {kind}, values array<double>").withColumnRenamed("key", key)

@@ -40,14 +40,24 @@ def _clean(mask: np.ndarray, size: int) -> np.ndarray:
         return out
 
     opened = grow(shrink(mask), False)
-    return shrink(grow(opened, False))
+    # of an even square, closing sees the places before and the one itself: the first row and column stay empty
+    grown, out = grow(opened, True), np.zeros_like(mask)
+    h, w = mask.shape[0] - size + 1, mask.shape[1] - size + 1
+    if h > 0 and w > 0:
+        back = size // 2
+        ends = slice(back, back + h), slice(back, back + w)
+        out[ends] = shrink(grown)[:h, :w]
+    return out
 
 
-def active_frames(waves: DataFrame, n_fft: int = 1024, hop: int = 256, low: float = 2000.0, high: float = 6000.0, threshold_db: float = -30.0, least_bins: int = 2, size: int = 2) -> DataFrame:
-    """(recording_id, rate, frame, f_low_hz, f_high_hz): frames with enough bins above the recording's maximum plus a threshold."""
+def active_frames(waves: DataFrame, n_fft: int = 1024, hop: int = 64, low: float = 1500.0, high: float = 10000.0, threshold_db: float = -45.0, size: int = 2) -> DataFrame:
+    """(recording_id, rate, frame, bins, f_low_hz, f_high_hz): frames with bins above the band's maximum plus a threshold.
+
+    Levels are over 100 medians of the power and cut 80 dB below the largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [KEY, "rate", "frame", "f_low_hz", "f_high_hz"]
+        names = [KEY, "rate", "frame", "bins", "f_low_hz", "f_high_hz"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for key, rate, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -56,22 +66,22 @@ def active_frames(waves: DataFrame, n_fft: int = 1024, hop: int = 256, low: floa
                 power = dsp.power_spectrogram(np.asarray(x, float), n_fft, hop)
                 freq = np.arange(n_fft // 2 + 1) * rate / n_fft
                 keep = (freq >= low) & (freq <= high)
-                db = 10 * np.log10(np.maximum(power[:, keep], 1e-10))
-                if not db.size:
+                if not power[:, keep].size:
                     continue
+                db = dsp.levels(power, 100 * float(np.median(power)))[:, keep]
                 mask = _clean(db > db.max() + threshold_db, size)
                 band = freq[keep]
-                for t in np.flatnonzero(mask.sum(axis=1) >= least_bins).tolist():
+                for t in np.flatnonzero(mask.any(axis=1)).tolist():
                     bins = np.flatnonzero(mask[t])
-                    for column, v in zip(out, (key, rate, t, float(band[bins[0]]), float(band[bins[-1]]))):
+                    for column, v in zip(out, (key, rate, t, len(bins), float(band[bins[0]]), float(band[bins[-1]]))):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64()))], names=names)
 
     rows = waves.where("samples is not null").select(F.col(KEY).cast("string"), "rate", "samples")
-    return rows.mapInArrow(run, f"{KEY} string, rate int, frame long, f_low_hz double, f_high_hz double")
+    return rows.mapInArrow(run, f"{KEY} string, rate int, frame long, bins int, f_low_hz double, f_high_hz double")
 
 
-def segment_units(waves: DataFrame, hop: int = 256, min_duration: float = 0.01, min_gap: float = 0.01, **options) -> DataFrame:
+def segment_units(waves: DataFrame, hop: int = 64, min_duration: float = 0.008, min_gap: float = 0.02, least_bins: int = 1, **options) -> DataFrame:
     """(recording_id, unit_id, start_s, stop_s, f_low_hz, f_high_hz): vocal units of each recording.
 
     Silences of up to `min_gap` are bridged and units below `min_duration` dropped; times are those
@@ -79,7 +89,7 @@ def segment_units(waves: DataFrame, hop: int = 256, min_duration: float = 0.01,
     """
     active = active_frames(waves, hop=hop, **options)
     rate = active.groupBy(KEY).agg(F.first("rate").alias("rate"))
-    runs = fr.islands(active, [KEY]).join(rate, KEY)
+    runs = fr.islands(active.where(F.col("bins") >= least_bins), [KEY]).join(rate, KEY)
     w = Window.partitionBy(KEY).orderBy("first")
     gap = F.rint(F.lit(min_gap) * F.col("rate") / hop)
     joined = F.col("first") - F.lag("last").over(w) - 1 <= gap
@@ -160,20 +170,16 @@ def dataset_split(labels: DataFrame, share: float = 0.1, test: int = 1024) -> Da
 
 
 def segment_features(segments: DataFrame, waves: DataFrame, least_s: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """((recording_id, unit_id, values), rejects with reason): cepstral and spectral statistics of each segment."""
+    """((recording_id, unit_id, values), rejects with reason): the features of each segment in the order of dsp.feature_names()."""
     cut = clips(segments, waves)
-    cut = cut.withColumn("reason", F.when(F.size("samples") < F.col("rate") * least_s, "too short"))
+    frames = F.floor(F.size("samples") / dsp.HOP) + 1
+    cut = cut.withColumn("reason", F.when(F.size("samples") < F.col("rate") * least_s, "too short").when(frames < 3, "too few frames"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for rate, x, s, e, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
-                y = np.asarray(x, float)
-                stats = dsp.spectral_statistics(y, rate)
-                level = np.abs(dsp.frames_of(y, min(256, len(y)), 64)).mean(axis=1)
-                share = float((level > np.percentile(level, 75)).mean()) if len(level) else 0.0
-                own = [*dsp.mfcc_statistics(y, rate), e - s, (hi or 0.0) - (lo or 0.0), *(stats.get(k, 0.0) for k in ("centroid_mean", "centroid_std", "bandwidth_mean", "bandwidth_std", "rolloff_mean", "rolloff_std", "flatness_mean")), share]
-                made.append([float(v) for v in own])
+                made.append(dsp.segment_features(np.asarray(x, float), rate, s, e, lo or 0.0, hi or 0.0).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], names=[KEY, "unit_id", "values"])
 
     good = cut.where("reason is null").select(F.col(KEY).cast("string"), F.col("unit_id").cast("long"), "rate", "samples", "start_s", "stop_s", "f_low_hz", "f_high_hz")

@@ -76,10 +76,15 @@ def spectral_shape(spark, d) -> DataFrame:
     return out.select("recording_id", *(F.round(c, 4).alias(c) for c in ("centroid", "bandwidth", "flatness", "entropy", "rolloff")))
 
 
-@query(f"""WITH {SAMPLES_SQL} SELECT recording_id, n, round((x - avg(x) OVER (PARTITION BY recording_id)) / (stddev_pop(x) OVER (PARTITION BY recording_id) + 1e-10::DOUBLE), 5) AS by_sample, round((x - avg(x) OVER (PARTITION BY n)) / (stddev_pop(x) OVER (PARTITION BY n) + 1e-10::DOUBLE), 5) AS by_time FROM samples""")
+@query(f"""WITH {SAMPLES_SQL} SELECT recording_id, n, round((x - avg(x) OVER (PARTITION BY recording_id)) / (stddev_pop(x) OVER (PARTITION BY recording_id) + 1e-10::DOUBLE), 5) AS by_sample, round((x - avg(x) OVER (PARTITION BY n)) / (stddev_pop(x) OVER (PARTITION BY n) + 1e-10::DOUBLE), 5) AS by_time,
+round((x - avg(x) OVER ()) / (stddev_pop(x) OVER () + 1e-10::DOUBLE), 5) AS by_batch, round((x - avg(x) OVER (PARTITION BY recording_id, n // 16)) / (stddev_pop(x) OVER (PARTITION BY recording_id, n // 16) + 1e-10::DOUBLE), 5) AS by_channel, round((x - avg(x) OVER (PARTITION BY n % 16)) / (stddev_pop(x) OVER (PARTITION BY n % 16) + 1e-10::DOUBLE), 5) AS by_frequency FROM samples""")
 def znorm_axis(spark, d) -> DataFrame:
-    s = views.samples(spark, d)
-    return s.select("recording_id", "n", F.round(signal.z_scores(s, ["recording_id"]), 5).alias("by_sample"), F.round(signal.z_scores(s, ["n"]), 5).alias("by_time"))
+    """Scores along five axes, the samples read as images of 4 channels by 16 frequencies."""
+    s = views.samples(spark, d).withColumns({"channel": F.floor(F.col("n") / 16), "frequency": F.col("n") % 16})
+    axes = {"by_sample": ["recording_id"], "by_time": ["n"], "by_batch": [], "by_channel": ["recording_id", "channel"], "by_frequency": ["frequency"]}
+    for name, axis in axes.items():
+        s = signal.z_scores(s, axis, name=name)
+    return s.select("recording_id", "n", *(F.round(c, 5).alias(c) for c in axes))
 
 
 NEAR = "OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
@@ -117,6 +122,16 @@ def energy_shape(spark, d) -> DataFrame:
     return s.join(q, "recording_id").groupBy("recording_id").agg(F.count_if(F.col("x") > F.col("q")).alias("n_above")).join(h, "recording_id").select("recording_id", "n_above", F.round("h", 5).alias("energy_entropy"), F.round("r", 6).alias("rms_std"))
 
 
+@query("""WITH w AS (SELECT vec_id AS recording_id, label, embedding, unnest(range(6)) AS window_id FROM embeddings),
+t AS (SELECT *, list_transform(embedding[window_id * 8 + 1 : window_id * 8 + 16]::DOUBLE[], lambda v: v) AS x, embedding[window_id * 8 + 9] > 0 AS hit FROM w)
+SELECT recording_id, window_id, round(list_sum(x) - list_sum(x[7:10]), 6) AS total, hit::INT AS label, CASE WHEN hit THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM t""")
+def training_windows(spark, d) -> DataFrame:
+    """Windows with the class of their middle sample (its sign), class weights, and four masked samples."""
+    y = F.transform("x", lambda v: F.when(v > 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
+    out = signal.training_windows(_arrays(spark, d).withColumn("y", y), "recording_id", "x", "y", 16, 8, 2, mask=2, class_weights=[0.5, 2.0])
+    return out.select("recording_id", "window_id", F.round(signal.total("x"), 6).alias("total"), F.col("y")[1].cast("int").alias("label"), F.col("w").alias("weight"))
+
+
 # ---- kernels by Arrow batches: no SQL --------------------------------------------------------
 
 def _kernel(spark, d, f) -> DataFrame:
@@ -127,7 +142,7 @@ def _kernel(spark, d, f) -> DataFrame:
 @query()
 def mfcc(spark, d) -> DataFrame:
     """Means and deviations of 13 cepstra and their slopes."""
-    return _kernel(spark, d, lambda x: dsp.mfcc_statistics(x, 2000.0))
+    return _kernel(spark, d, lambda x: dsp.mfcc_statistics(x, 2000.0, bands=12, n_fft=32, hop=8))
 
 
 @query()
@@ -147,7 +162,7 @@ def pitch(spark, d) -> DataFrame:
 
 @query()
 def spectral_statistics(spark, d) -> DataFrame:
-    return _kernel(spark, d, lambda x: list(dsp.spectral_statistics(x, 2000.0, 32).values()))
+    return _kernel(spark, d, lambda x: list(dsp.spectral_statistics(x, 2000.0, 32, 8).values()))
 
 
 @query()
@@ -200,8 +215,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbour)
 def knn_graph(spark, d) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 20, in blocks of queries."""
     rows = table(spark, d, "embeddings")
-    wanted = [(r.vec_id, r.embedding) for r in rows.where("vec_id % 20 = 0").select("vec_id", "embedding").toLocalIterator()]
-    out = ml.nearest_neighbours(rows, wanted, 5)
+    out = ml.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), 5)
     return out.select("query", "neighbour", F.round("distance", 5).alias("distance"), "place")
 
 

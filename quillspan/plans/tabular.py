@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators import align, frames as fr, intervals as iv, metrics, sequence as sq
+from quillspan.operators import align, cleaning, frames as fr, intervals as iv, metrics, sequence as sq
 from quillspan.plans import views
 from quillspan.plans.views import FRAMES_SQL, PRED_SQL, STEP, TRUTH_SQL
 from quillspan.session import table
@@ -342,6 +342,64 @@ def append_summary(spark, d) -> DataFrame:
     return n.withColumn("kind", F.lit("user")).unionByName(n.groupBy("event_type").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("all")), allowMissingColumns=True).select("kind", "user_id", "event_type", "n", "mean")
 
 
+NAN_SQL = f"""{TRUTH_SQL}, holes AS (SELECT recording_id, event_id, CASE WHEN name = 'error' THEN 'NaN'::DOUBLE ELSE start_s END AS start_s, CASE WHEN name IN ('error', 'view') AND recording_id % 2 = 0 THEN 'NaN'::DOUBLE WHEN name = 'click' THEN 'infinity'::DOUBLE WHEN name = 'signup' THEN NULL ELSE stop_s END AS stop_s,
+CASE WHEN name = 'view' THEN -1 WHEN name = 'error' THEN NULL ELSE recording_id % 3 END AS channel FROM truth)"""
+
+
+def _holes(spark, d) -> DataFrame:
+    """Events with missing and infinite times and marked channels."""
+    nan, name = F.lit(float("nan")), F.col("name")
+    start = F.when(name == "error", nan).otherwise(F.col("start_s"))
+    stop = F.when(name.isin("error", "view") & (F.col("recording_id") % 2 == 0), nan).when(name == "click", float("inf")).when(name != "signup", F.col("stop_s"))
+    channel = F.when(name == "view", -1).when(name != "error", F.col("recording_id") % 3)
+    return views.truth(spark, d).select("recording_id", "event_id", start.alias("start_s"), stop.alias("stop_s"), channel.alias("channel"))
+
+
+@query(f"WITH {NAN_SQL} SELECT event_id, channel FROM holes WHERE channel IS DISTINCT FROM -1")
+def without_channel(spark, d) -> DataFrame:
+    """Rows whose fifth column is not the mark of no channel."""
+    return cleaning.without_value(_holes(spark, d), 4, -1).select("event_id", "channel")
+
+
+@query(f"WITH {NAN_SQL}, m AS (SELECT event_id, start_s IS NULL OR isnan(start_s) AS a, stop_s IS NULL OR isnan(stop_s) AS b FROM holes) SELECT event_id, NOT (a OR b) AS whole FROM m WHERE NOT (a AND b)")
+def without_missing(spark, d) -> DataFrame:
+    """Rows in which not all times are missing, marked where none is."""
+    rows = _holes(spark, d)
+    whole = cleaning.without_missing(rows, ["start_s", "stop_s"]).select("event_id", F.lit(True).alias("whole"))
+    return cleaning.without_missing(rows, ["start_s", "stop_s"], "all").select("event_id").join(whole, "event_id", "left").select("event_id", F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+@query(f"WITH {NAN_SQL} SELECT channel, count(*) AS n, round(avg(stop_s), 6) AS mean_stop FROM holes WHERE isfinite(stop_s) AND isfinite(start_s) GROUP BY 1")
+def finite_only(spark, d) -> DataFrame:
+    rows = _holes(spark, d).where(cleaning.finite("stop_s") & cleaning.finite("start_s"))
+    return rows.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.avg("stop_s"), 6).alias("mean_stop"))
+
+
+@query(f"WITH {TRUTH_SQL}, r AS (SELECT recording_id, event_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_s, event_id) - 1 AS k FROM truth) SELECT recording_id, event_id FROM r WHERE k % 7 = 0")
+def every_nth(spark, d) -> DataFrame:
+    return cleaning.every_nth(views.truth(spark, d), ["recording_id"], ["start_s", "event_id"], 7).select("recording_id", "event_id")
+
+
+@query(f"""WITH {TRUTH_SQL}, x AS (SELECT CASE WHEN recording_id % 2 = 0 THEN 'Young' ELSE 'Old' END AS age, name, stop_s - start_s AS x, CASE WHEN name <> 'click' OR recording_id % 2 = 0 THEN 500 + event_id % 300 END AS f0 FROM truth),
+a AS (SELECT age, name, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM x GROUP BY ALL), b AS (SELECT age, name, round(avg(f0), 6) AS f0_mean FROM x WHERE f0 IS NOT NULL GROUP BY ALL)
+SELECT age, name, n, mean, std, f0_mean FROM a LEFT JOIN b USING (age, name)""")
+def pitch_by_group(spark, d) -> DataFrame:
+    """Duration statistics of each age and name with the mean pitch beside them, where one was measured."""
+    age = F.when(F.col("recording_id") % 2 == 0, "Young").otherwise("Old")
+    x = views.truth(spark, d).select("recording_id", age.alias("age"), "name", (F.col("stop_s") - F.col("start_s")).alias("x"), "event_id")
+    pitch = x.where((F.col("name") != "click") | (F.col("recording_id") % 2 == 0)).select("age", "name", (500 + F.col("event_id") % 300).alias("f0_hz"))
+    return sq.with_pitch(sq.described(x, ["age", "name"], "x"), pitch, ["age", "name"]).select("age", "name", "n", "mean", "std", "f0_mean")
+
+
+@query(f"""WITH {TRUTH_SQL}, s AS (SELECT recording_id, CASE WHEN recording_id % 2 = 0 THEN 'Young' ELSE 'Old' END AS age, max(stop_s) - min(start_s) AS l FROM truth GROUP BY 1), m AS (SELECT avg(l) FILTER (age = 'Old') AS o, avg(l) FILTER (age = 'Young') AS y FROM s)
+SELECT age, recording_id::VARCHAR AS file, round(l, 3) AS song_length FROM s UNION ALL SELECT 'Old', 'Average', round(o, 3) FROM m UNION ALL SELECT 'Young', 'Average', round(y, 3) FROM m UNION ALL SELECT 'Diff(Young-Old)', 'Average_Song_Length_Diff', round(y - o, 3) FROM m""")
+def age_report(spark, d) -> DataFrame:
+    """Song lengths with the groups' averages and their difference below them."""
+    age = F.when(F.col("recording_id") % 2 == 0, "Young").otherwise("Old")
+    songs = views.truth(spark, d).groupBy("recording_id", age.alias("age")).agg((F.max("stop_s") - F.min("start_s")).alias("song_length"))
+    return sq.age_report(songs.select("age", F.col("recording_id").cast("string").alias("file"), "song_length"))
+
+
 # ---- frames ----------------------------------------------------------------------------------
 
 @query(f"""WITH {TRUTH_SQL}, x AS (SELECT DISTINCT recording_id, name, unnest(range(trunc(start_s / 600)::BIGINT, trunc(stop_s / 600 + 1)::BIGINT)) AS frame FROM truth) SELECT recording_id, name, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM x GROUP BY ALL""")

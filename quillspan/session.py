@@ -34,12 +34,12 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.exec
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the Python workers, once per context, so that they need no shared path.
 
-    Also keeps Arrow batches small, so that long texts do not pile up in a worker.
+    Also keeps the session's Arrow batches small, so that long texts do not pile up in a worker.
     """
     context = spark.sparkContext
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     if not getattr(context, "_quillspan_shipped", False):
-        for key, value in BATCH.items():
-            spark.conf.set(key, value)
         import tempfile
         import zipfile
         from pathlib import Path

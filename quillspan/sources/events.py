@@ -13,6 +13,28 @@ def from_lists(spark, names: list[str], starts: list[float], stops: list[float])
     return spark.createDataFrame(list(zip(names, starts, stops)), "name string, start_s double, stop_s double")
 
 
+def from_predictions(df: DataFrame, events: dict[str, list[float]], segments: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """`df` with events (name -> times) and segments (name -> spans) of a prediction; events have no length."""
+    rows = [(n, float(t), float(t)) for n, ts in events.items() for t in ts] + [(n, float(a), float(b)) for n, spans in segments.items() for a, b in spans]
+    return df.unionByName(df.sparkSession.createDataFrame(rows, "name string, start_s double, stop_s double"), allowMissingColumns=True)
+
+
+def from_dataset(df: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
+    """(recording_id, name, start_s, stop_s) of a long table of event times (recording_id, event, event_time, value).
+
+    event_time is start_seconds or stop_seconds; a missing stop is the start. `named` recodes names.
+    """
+    at = lambda kind: F.max(F.when(F.col("event_time") == kind, F.col("value")))
+    keys = [c for c in ("recording_id", "name") if c in df.columns]
+    out = df.groupBy(*keys, "event").agg(at("start_seconds").alias("start_s"), at("stop_seconds").alias("stop_s"))
+    out = out.withColumn("stop_s", F.coalesce("stop_s", "start_s"))
+    if named:
+        from quillspan.functions.labels import recode
+
+        out = out.withColumn("name", recode(F.col("name"), named))
+    return out.drop("event")
+
+
 def added(df: DataFrame, name: str, start: float, stop: float | None = None) -> DataFrame:
     """With one more interval; without a stop it is an event. Other columns are null."""
     row = df.sparkSession.createDataFrame([(name, float(start), float(start if stop is None else stop))], "name string, start_s double, stop_s double")

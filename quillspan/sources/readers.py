@@ -224,3 +224,9 @@ def clips(intervals_df: DataFrame, waves_df: DataFrame) -> DataFrame:
     both = intervals_df.drop("channel").join(waves_df.select("recording_id", "rate", F.col("channel").alias("wave_channel"), "samples"), "recording_id")
     ok = both.where((first >= 0) & (last > first) & (first < F.size("samples")))
     return ok.withColumn("samples", F.slice("samples", first + 1, last - first))
+
+
+def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A dataset tree written by split; one split reads its own files alone."""
+    rows = spark.read.parquet(path)
+    return rows if split is None else rows.where(F.col("split") == split)
