@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.textbatch import steps
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair; beyond it the dictionary starts anew.
-KEPT_BYTES, ENTRY = 192 << 20, 160
+#: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair, in two generations: when the
+#: younger has half, it becomes the older, and what that held and nothing has asked for since goes.
+KEPT_BYTES, ENTRY = 128 << 20, 160
 
 #: The pre-token pattern of the vocabulary, its white space written out.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -62,7 +63,7 @@ class Merger:
         self.size = int(max(vocab.values())) + 1
         self._tables(left * self.size + right, made)
         self.pattern, self.space = regex.compile(PATTERN), regex.compile(f"[{_SPACE}]+")
-        self.kept, self.known, self.held = kept, {}, 0
+        self.kept, self.known, self.older, self.held = kept, {}, {}, 0
 
     def _tables(self, keys: np.ndarray, made: np.ndarray) -> None:
         """An open-addressed hash table key -> rank, probed in a fixed number of numpy steps."""
@@ -180,11 +181,15 @@ class Merger:
 
     def learn(self, found: list[list[str]]) -> None:
         """Tokenise the chunks of `found` that are not known yet."""
-        new = [c for c in set().union(*found) if c not in self.known]
-        if self.held + sum(map(len, new)) + ENTRY * len(new) > self.kept and self.known:
-            self.known.clear()
-            self.held = 0
-            new = list(set().union(*found))
+        asked = set().union(*found)
+        new = [c for c in asked if c not in self.known]
+        if self.held + sum(map(len, new)) + ENTRY * len(new) > self.kept // 2 and self.known:
+            self.known, self.older, self.held = {}, self.known, 0
+            new = list(asked)
+        again = {c: self.older[c] for c in new if c in self.older}
+        self.held += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY * len(again)
+        self.known.update(again)
+        new = [c for c in new if c not in again]
         for at in range(0, len(new), 1 << 16):
             chunks = new[at : at + (1 << 16)]
             parts = [self.parts(c) for c in chunks]
