@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds of its input at once.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> SparkSession:
