@@ -105,17 +105,19 @@ def embedded(df: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="embedding_k").fit(df).transform(df)
 
 
-def models() -> dict:
+def models(rows: int | None = None) -> dict:
     """The three candidate classifiers; the kernel machine is a linear one, as Spark has no RBF kernel.
 
-    The linear machine and logistic regression scale the features themselves.
+    The linear machine and logistic regression scale the features themselves; their penalty is that
+    of a cost of 1 a row, which Spark's mean loss needs the number of `rows` for (none: no penalty).
     """
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 
+    penalty = 1 / rows if rows else 0.0
     return {
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=1000), labelCol="label", featuresCol="features", parallelism=4),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=1000, tol=1e-3, regParam=penalty), labelCol="label", featuresCol="features", parallelism=4),
         "random_forest": RandomForestClassifier(numTrees=200, seed=42, labelCol="label", featuresCol="features"),
-        "logistic_regression": LogisticRegression(maxIter=1000, labelCol="label", featuresCol="features"),
+        "logistic_regression": LogisticRegression(maxIter=1000, tol=1e-4, regParam=penalty, labelCol="label", featuresCol="features"),
     }
 
 
@@ -133,11 +135,13 @@ def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("linear
     from quillspan.operators.metrics import confusion, from_confusion, prf, summary
 
     rows = df.select("label", "features", "fold")
-    rows = rows.repartition(max(1, -(-rows.count() // rows_a_part)), F.xxhash64("features", "label")).persist()
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}  # a row per fold
+    total = sum(sizes.values())
+    rows = rows.repartition(max(1, -(-total // rows_a_part)), F.xxhash64("features", "label")).persist()
 
     def one(task: tuple[str, int]) -> tuple[str, float, float]:
         name, fold = task
-        told = models()[name].fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
+        told = models(total - sizes.get(fold, 0))[name].fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
         pairs = told.select(F.col("label").cast("int").cast("string").alias("t"), F.col("prediction").cast("int").cast("string").alias("p"))
         row = summary(prf(from_confusion(confusion(pairs)))).first()  # a row
         return name, row["accuracy"], row["macro_f1"]
@@ -156,4 +160,4 @@ def cross_validated(df: DataFrame, folds: int, names: tuple[str, ...] = ("linear
 
 def refitted(df: DataFrame, scores: DataFrame):
     """The best model of cross_validated(), fitted on all rows."""
-    return models()[scores.where("best").first()["model"]].fit(df)
+    return models(df.count())[scores.where("best").first()["model"]].fit(df)

@@ -254,7 +254,7 @@ def test_cross_validation_from_its_predictions(spark):
     scores = {r["model"]: r for r in ml.cross_validated(folded, 3).collect()}
     f1s, hits = [], []
     for k in range(3):
-        told = ml.models()["logistic_regression"].fit(folded.where(f"fold <> {k}")).transform(folded.where(f"fold = {k}")).select("label", "prediction").collect()
+        told = ml.models(folded.where(f"fold <> {k}").count())["logistic_regression"].fit(folded.where(f"fold <> {k}")).transform(folded.where(f"fold = {k}")).select("label", "prediction").collect()
         hits.append(np.mean([r["label"] == r["prediction"] for r in told]))
         per = []
         for c in (0.0, 1.0):
