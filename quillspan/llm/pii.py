@@ -453,8 +453,8 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = None, fie
 
 
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
-    """Personal data in all documents."""
+    """Personal data in all documents; n_spans counts base spans and the field's, n_secret those of credentials."""
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"))

@@ -82,6 +82,8 @@ def test_op2(spark, tables, docs):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in order] == [sum(s[0] == k for s in base) for k in order]
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(",")) | {""}
+        every = [s for s in r["spans"].split(",") if s]
+        assert (r["n_spans"], r["n_secret"]) == (len(every), sum(s.startswith("secret:") for s in every))
         if r["doc_id"] == 90010:
             assert "secret:" in r["spans"]
 
