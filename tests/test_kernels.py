@@ -54,6 +54,22 @@ def test_morphology_laws():
     assert np.array_equal(mo.leveling(x, x), x)
 
 
+def test_strides_padding_and_rates():
+    x, w = np.random.default_rng(6).normal(size=(7, 6)), np.random.default_rng(7).normal(size=(3, 2))
+    for strides, padding, rates in (((2, 3), "same", (1, 1)), ((1, 2), "valid", (2, 1)), ((1, 1), "same", (1, 2)), ((1, 1), "valid", (1, 1))):
+        reach = [(k - 1) * r + 1 for k, r in zip(w.shape, rates)]
+        size = [-(-n // s) if padding == "same" else (n - k) // s + 1 for n, s, k in zip(x.shape, strides, reach)]
+        before = [max((m - 1) * s + k - n, 0) // 2 if padding == "same" else 0 for m, n, s, k in zip(size, x.shape, strides, reach)]
+        for f, best, sign in ((mo.dilate, max, 1), (mo.erode, min, -1), (mo.convolve, sum, 0)):
+            got = f(x, w, strides, padding, rates)
+            assert got.shape == tuple(size)
+            for i in range(size[0]):
+                for j in range(size[1]):
+                    cells = [(i * strides[0] - before[0] + a * rates[0], j * strides[1] - before[1] + b * rates[1], w[a, b]) for a in range(3) for b in range(2)]
+                    assert got[i, j] == pytest.approx(best(x[p, q] * v if sign == 0 else x[p, q] + sign * v for p, q, v in cells if 0 <= p < 7 and 0 <= q < 6))
+    assert mo.dilate(x, np.zeros((9, 9)), padding="valid").size == 0
+
+
 def test_network_is_a_distribution_and_causal():
     net, x = tcn.make(2, 4, 3), np.random.default_rng(2).normal(size=(40, 2))
     p = tcn.forward(net, x, causal=True)
