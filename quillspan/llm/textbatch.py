@@ -6,6 +6,7 @@ bytes, never inside a text, so that memory follows the longest text and not the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker waits for its next task with what it needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch holding about `size` bytes of the column each, one row at least."""
     if batch.num_rows == 0:
@@ -46,6 +55,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -
         to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
