@@ -12,6 +12,7 @@ parameter. Files with an end-of-word suffix, lower case and white space dropped
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -201,7 +202,7 @@ class Merger:
             begin = end - counts * 4
             got = {n: np.uint32(n).astype("<u4").tobytes() for n in numbers}
             got.update(zip(words, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]))
-            made = [b"".join([got[w] for w in p]) for p in parts]
+            made = [got[p[0]] if len(p) == 1 else b"".join([got[w] for w in p]) for p in parts]
             self.held += sum(map(len, chunks)) + sum(map(len, made)) + ENTRY * len(chunks)
             self.known.update(zip(chunks, made))
 
@@ -213,10 +214,17 @@ class Merger:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        found = [self.chunks(t) if t else [] for t in texts]
-        self.learn(found)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in found]
+        # lists of strings hold no cycles: the collector would only walk them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            found = [self.chunks(t) if t else [] for t in texts]
+            self.learn(found)
+            get = self.known.__getitem__
+            return [b"".join(map(get, words)) for words in found]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _MERGERS: dict[tuple[str, int], Merger] = {}
