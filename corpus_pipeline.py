@@ -21,6 +21,8 @@ from quillspan.session import ship
 NEAR_PERCENT = 80
 #: A text whose best language is barely ahead of the others' mean is rejected with those of no language.
 LEAST_SCORE = 0.3
+#: Bytes of chunks and ids that a worker of the packing stage keeps: half of op8's, as the executor's heap is full by then.
+DICTIONARY = 64 << 20
 
 
 def language_stage(spark, docs, sf_dir):
@@ -59,7 +61,7 @@ def privacy_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Pieces of sequences of at most 4096 tokens; a null or empty text is its end id, repeated rows are pieces of their own."""
-    return packed(docs)
+    return packed(docs, dictionary=DICTIONARY)
 
 
 def _stage(f):

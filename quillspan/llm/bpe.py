@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.textbatch import steps
+from quillspan.llm.textbatch import kept, steps
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair, in two generations: when the
@@ -227,16 +227,14 @@ class Merger:
                 gc.enable()
 
 
-_MERGERS: dict[tuple[str, int], Merger] = {}
-
-
-def merger(vocabulary: str = VOCABULARY, kept: int = KEPT_BYTES) -> Merger:
-    """The worker's merger of a vocabulary file of the tokenizer package."""
-    if (vocabulary, kept) not in _MERGERS:
+def merger(vocabulary: str = VOCABULARY, size: int = KEPT_BYTES) -> Merger:
+    """The worker's merger of a vocabulary file of the tokenizer package, its dictionary of at most `size` bytes."""
+    mine = kept("mergers")
+    if (vocabulary, size) not in mine:
         import public_tokenizers
 
-        _MERGERS[vocabulary, kept] = Merger(str(public_tokenizers.path(vocabulary)), kept)
-    return _MERGERS[vocabulary, kept]
+        mine[vocabulary, size] = Merger(str(public_tokenizers.path(vocabulary)), size)
+    return mine[vocabulary, size]
 
 
 def token_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:

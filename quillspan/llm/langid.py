@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.textbatch import steps
+from quillspan.llm.textbatch import kept, steps
 
 #: Places of the hashed n-gram space, lengths of n-grams, landmarks, ridge.
 DIM, GRAMS, LANDMARKS, RIDGE = 1 << 13, (2, 3, 4), 96, 1e-3
@@ -133,6 +133,7 @@ def predictions(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")  # nothing: what another operator kept in this worker goes
         ready = Model(*shared.value)
         for batch in batches:
             for part in steps(batch, text):

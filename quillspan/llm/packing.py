@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.bpe import VOCABULARY, merger
+from quillspan.llm.bpe import KEPT_BYTES, VOCABULARY, merger
 from quillspan.llm.scratch import written
 from quillspan.llm.textbatch import steps
 
@@ -99,16 +99,17 @@ def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += max(1, k // 256)
 
 
-def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id", end_id: int = 2, grain: int = GRAIN, vocabulary: str = VOCABULARY) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id", end_id: int = 2, grain: int = GRAIN, vocabulary: str = VOCABULARY, dictionary: int = KEPT_BYTES) -> DataFrame:
     """(key, start, length, doc_tokens, ids): each document's ids and `end_id`, cut into full windows and pieces of `grain` at most.
 
     A null or empty text is the end id alone. `ids` holds little-endian unsigned 32-bit numbers.
+    `dictionary` bounds the bytes of chunks a worker keeps; a smaller one takes more time, not other ids.
     """
     kind = docs.schema[key].dataType.simpleString()
     tail = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = merger(vocabulary)
+        tool = merger(vocabulary, dictionary)
         for batch in batches:
             for part in steps(batch):
                 rows, start, ids, whole = [], [], [], []
@@ -159,9 +160,9 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096, key: str = "doc_i
     return dealt.groupBy("__block").applyInArrow(run, schema)
 
 
-def packed(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 4096, dictionary: int = KEPT_BYTES) -> DataFrame:
     """The digest rows of a packing: one per piece, its ids as a CRC-32."""
-    pieces = cut_pieces(docs.select("doc_id", "text"), capacity)
+    pieces = cut_pieces(docs.select("doc_id", "text"), capacity, dictionary=dictionary)
     plan = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(plan, docs.count(), capacity)
 

@@ -45,6 +45,22 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What `owner` keeps in this worker from task to task. Asking for it drops what other owners kept.
+
+    A worker outlives its operator: of the tables and dictionaries of all operators that it has
+    served it would otherwise hold every one while it works for the next.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        release()
+    return _KEPT[owner]
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch holding about `size` bytes of the column each, one row at least."""
     if batch.num_rows == 0:
@@ -75,26 +91,29 @@ def _byte_values(seed: int) -> np.ndarray:
     return values
 
 
-_POWERS: list[np.ndarray] = []
+#: Bytes of text whose words are hashed at once; a longer word is a piece of its own.
+PIECE_BYTES = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and INVERSE**i for i < n, kept up to about two steps of text."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = -(-n // (1 << 19)) * (1 << 19)
+    """BASE**i and INVERSE**i for i < n, kept up to a piece of text."""
+    mine = kept("powers")
+    if "made" not in mine or len(mine["made"][0]) < n:
+        size = max(n, PIECE_BYTES + 1)
         with np.errstate(over="ignore"):
             made = []
             for base in (BASE, INVERSE):
                 out = np.ones(size, np.uint64)
                 have, step = 1, np.uint64(base)
                 while have < size:
-                    out[have : 2 * have] = out[: min(have, size - have)] * step
+                    more = min(have, size - have)
+                    out[have : have + more] = out[:more] * step
                     step, have = step * step, 2 * have
                 made.append(out)
-        if size > 2 * STEP_BYTES:  # a very long text: not kept
-            return made[0][:n], made[1][:n]
-        _POWERS[:] = made
-    return _POWERS[0][:n], _POWERS[1][:n]
+        if size > PIECE_BYTES + 1:  # a very long word: not kept
+            return made[0], made[1]
+        mine["made"] = made
+    return mine["made"][0][:n], mine["made"][1][:n]
 
 
 def word_bounds(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,15 +137,23 @@ def word_bounds(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte ranges, blind to the case of A-Z; equal ranges have equal hashes anywhere."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        powers, inverse = _powers(len(buf) + 1)
-        sums = np.empty(len(buf) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_byte_values(seed)[buf] * powers[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
+    """64-bit hashes of ascending byte ranges, blind to the case of A-Z; equal ranges have equal hashes anywhere."""
+    out = np.empty(len(starts), np.uint64)
+    values = _byte_values(seed)
+    at = 0
+    while at < len(starts):  # in pieces: the sums take many times the memory of the text
+        begin = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + PIECE_BYTES, "right")))
+        first, last = starts[at:to] - begin, ends[at:to] - begin
+        size = int(last[-1])
+        with np.errstate(over="ignore"):
+            powers, inverse = _powers(size + 1)
+            sums = np.empty(size + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(values[buf[begin : begin + size]] * powers[:-1], out=sums[1:])
+            out[at:to] = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _M2)
+        at = to
+    return out
 
 
 def byte_class(pattern: bytes | list[int]) -> np.ndarray:
