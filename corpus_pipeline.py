@@ -21,7 +21,7 @@ from quillspan.session import ship
 NEAR_PERCENT = 80
 #: A text whose best language is barely ahead of the others' mean is rejected with those of no language.
 LEAST_SCORE = 0.3
-#: Bytes of chunks and ids that a worker of the packing stage keeps: half of op8's, as the executor's heap is full by then.
+#: Bytes of chunks and ids that a worker of the packing stage keeps: a quarter of op8's, as the executor's heap is full by then.
 DICTIONARY = 64 << 20
 
 

@@ -28,7 +28,7 @@ from quillspan.llm.textbatch import kept, steps
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair, in two generations: when the
 #: younger has half, it becomes the older, and what that held and nothing has asked for since goes.
-KEPT_BYTES, ENTRY = 128 << 20, 160
+KEPT_BYTES, ENTRY = 256 << 20, 160
 
 #: The pre-token pattern of the vocabulary, its white space written out.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
