@@ -2,8 +2,9 @@
 
 Pre-tokens of many texts are held as one flat symbol array with word bounds. In each round
 every word finds its lowest-rank adjacent pair and all words apply theirs at once; words
-without a mergeable pair are done. A text's pre-tokens are found by the vocabulary's own
-pattern; a bounded dictionary keeps the ids of blank-free chunks already merged.
+without a mergeable pair are done. Texts are cut into blank-free chunks in their bytes; only the
+distinct ones of a step are looked up, and a bounded dictionary keeps the ids of those already
+merged. The pre-tokens of the others are found by the vocabulary's own pattern.
 
 The vocabulary file is read on each executor from the tokenizer package; its name is a
 parameter. Files with an end-of-word suffix, lower case and white space dropped are meant
@@ -23,17 +24,42 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.textbatch import kept, steps
+from quillspan.llm.textbatch import byte_class, kept, steps, text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of chunks and ids that a worker keeps, ENTRY counted for each pair, in two generations: when the
 #: younger has half, it becomes the older, and what that held and nothing has asked for since goes.
 KEPT_BYTES, ENTRY = 256 << 20, 160
+#: Bytes of text whose chunks are looked up together: of more bytes, fewer are distinct.
+LOOKUP_BYTES = 2 << 20
 
 #: The pre-token pattern of the vocabulary, its white space written out.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
 
+#: The same white space in bytes: single ones, and the codes of characters of two and of three.
+_GAP = byte_class(b"\t\n\x0b\x0c\r ")
+_GAPS_2 = np.array([0xC285, 0xC2A0])
+_GAPS_3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+#: Signs that end a word and that no pattern of letters takes in.
+SIGNS = ".,;:!?"
+_SIGN = byte_class(SIGNS.encode())
+
+
+def gaps(buf: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _GAP[buf]
+    for width, leads, codes in ((2, b"\xc2", _GAPS_2), (3, b"\xe1\xe2\xe3", _GAPS_3)):
+        for lead in leads:
+            at = np.flatnonzero(buf[: max(0, len(buf) - width + 1)] == lead)
+            code = np.zeros(len(at), np.int64)
+            for i in range(width):
+                code = code << 8 | buf[at + i]
+            at = at[np.isin(code, codes)]
+            for i in range(width):
+                out[at + i] = True
+    return out
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte value in byte-level vocabularies."""
@@ -63,7 +89,7 @@ class Merger:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.size = int(max(vocab.values())) + 1
         self._tables(left * self.size + right, made)
-        self.pattern, self.space = regex.compile(PATTERN), regex.compile(f"[{_SPACE}]+")
+        self.pattern = regex.compile(PATTERN)
         self.kept, self.known, self.older, self.held = kept, {}, {}, 0
 
     def _tables(self, keys: np.ndarray, made: np.ndarray) -> None:
@@ -171,7 +197,7 @@ class Merger:
             # a word, or a word and one sign after it, needs no pattern
             if low.isalpha():
                 return [low]
-            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            if low[-1] in SIGNS and low[:-1].isalpha():
                 return [low[:-1], low[-1]]
         if "<|" not in text or not self.split_special:
             return self.pre_tokens(text)
@@ -180,19 +206,22 @@ class Merger:
             out.extend([self.special[piece]] if k % 2 else self.pre_tokens(piece))
         return out
 
-    def learn(self, found: list[list[str]]) -> None:
-        """Tokenise the chunks of `found` that are not known yet."""
-        asked = set().union(*found)
-        new = [c for c in asked if c not in self.known]
+    def learn(self, asked: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those that are not known yet are tokenised."""
+        found = list(map(self.known.get, asked))
+        new = [c for c, x in zip(asked, found) if x is None]
+        if not new:
+            return found
         if self.held + sum(map(len, new)) + ENTRY * len(new) > self.kept // 2 and self.known:
             self.known, self.older, self.held = {}, self.known, 0
-            new = list(asked)
-        again = {c: self.older[c] for c in new if c in self.older}
+            again = {c: x for c, x in zip(asked, found) if x is not None}
+        else:
+            again = {c: self.older[c] for c in new if c in self.older}
         self.held += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY * len(again)
         self.known.update(again)
-        new = [c for c in new if c not in again]
-        for at in range(0, len(new), 1 << 16):
-            chunks = new[at : at + (1 << 16)]
+        fresh = [c for c in new if c not in again]
+        for at in range(0, len(fresh), 1 << 16):
+            chunks = fresh[at : at + (1 << 16)]
             parts = [self.parts(c) for c in chunks]
             words = list(set().union(*parts))
             numbers = [w for w in words if isinstance(w, int)]
@@ -205,26 +234,58 @@ class Merger:
             made = [got[p[0]] if len(p) == 1 else b"".join([got[w] for w in p]) for p in parts]
             self.held += sum(map(len, chunks)) + sum(map(len, made)) + ENTRY * len(chunks)
             self.known.update(zip(chunks, made))
-
-    def chunks(self, text: str) -> list[str]:
-        """The text cut at white space, which no pre-token contains; str.split() also cuts at four control bytes."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return [c for c in self.space.split(text) if c]
-        return text.split()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        late = map(self.known.__getitem__, new)
+        return [next(late) if x is None else x for x in found]
+
+    def chunks(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(chunks of all texts, chunks before each text and in all), cut at white space, which no pre-token contains.
+
+        A-Z are made small and a sign after one of a-z is cut off, as fewer chunks are distinct then. Both give the
+        same ids unless a combining mark (U+0300 to U+036F, bytes 0xCC and 0xCD) may join a letter, as some join only
+        small ones, or a special string may be cut: a step with either stays as it is.
+        """
+        buf, off = text_buffer(column)
+        gap = gaps(buf)
+        head = ~gap
+        head[1:] &= gap[:-1]
+        plain = not (buf >> 1 == 0xCC >> 1).any() and not (self.special and ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any())
+        if plain:
+            head[1:] |= ((buf[:-1] | 32) - np.uint8(97) < 26) & _SIGN[buf[1:]]
+        first = off[:-1][np.diff(off) > 0]
+        head[first] = ~gap[first]
+        starts = np.flatnonzero(head)
+        del head
+        bounds = np.empty(len(starts) + 1, np.int64)
+        bounds[:-1] = np.cumsum(~gap, dtype=np.int32 if len(buf) < 1 << 31 else np.int64)[starts] - 1
+        data = buf[~gap]
+        bounds[-1] = len(data)
+        if plain:
+            data[data - np.uint8(65) < 26] |= 32
+        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(starts, off)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as little-endian unsigned 32-bit numbers, ids before each text and in all)."""
+        chunks, before = self.chunks(column)
+        if not len(chunks):
+            return np.zeros(0, "<u4"), before
+        table = chunks.dictionary_encode()
         # lists of strings hold no cycles: the collector would only walk them again and again
         collects = gc.isenabled()
         gc.disable()
         try:
-            found = [self.chunks(t) if t else [] for t in texts]
-            self.learn(found)
-            get = self.known.__getitem__
-            return [b"".join(map(get, words)) for words in found]
+            made = self.learn(table.dictionary.to_numpy(zero_copy_only=False).tolist())
         finally:
             if collects:
                 gc.enable()
+        found = pa.array(made, pa.large_binary()).take(table.indices)
+        _, ends, ids = found.buffers()
+        ends = np.frombuffer(ends, np.int64, len(found) + 1)
+        return np.frombuffer(ids, "<u4", ends[-1] // 4), ends[before] // 4
+
+
+def text_bytes(column: pa.Array) -> np.ndarray:
+    """UTF-8 bytes of each text, none for null."""
+    return np.diff(text_buffer(column)[1])
 
 
 def merger(vocabulary: str = VOCABULARY, size: int = KEPT_BYTES) -> Merger:
@@ -248,11 +309,10 @@ def token_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(vocabulary)
         for batch in batches:
-            for part in steps(batch):
-                texts = part.column(1).to_pylist()
-                ids = tool.encode(texts)
-                n_bytes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(ids, pa.binary())], names=["key", "n_bytes", "ids"])
+            for part in steps(batch, size=LOOKUP_BYTES):
+                ids, off = tool.encode(part.column(1))
+                ids = [ids[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text_bytes(part.column(1))), pa.array(ids, pa.binary())], names=["key", "n_bytes", "ids"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, ids binary")
     return out.withColumnRenamed("key", key)
@@ -265,11 +325,9 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(vocabulary)
         for batch in batches:
-            for part in steps(batch):
-                texts = part.column(1).to_pylist()
-                n_tokens = np.fromiter((len(x) // 4 for x in tool.encode(texts)), np.int64, len(texts))
-                n_bytes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-                arrays = [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens), pa.array(n_tokens > limit)]
+            for part in steps(batch, size=LOOKUP_BYTES):
+                n_tokens = np.diff(tool.encode(part.column(1))[1])
+                arrays = [part.column(0), pa.array(text_bytes(part.column(1))), pa.array(n_tokens), pa.array(n_tokens > limit)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_bytes", "n_tokens", "over_limit"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.bpe import KEPT_BYTES, VOCABULARY, merger
+from quillspan.llm.bpe import KEPT_BYTES, LOOKUP_BYTES, VOCABULARY, merger
 from quillspan.llm.scratch import written
 from quillspan.llm.textbatch import steps
 
@@ -111,10 +111,11 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, text: str = "text", key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(vocabulary, dictionary)
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, size=LOOKUP_BYTES):
                 rows, start, ids, whole = [], [], [], []
-                for row, x in enumerate(tool.encode(part.column(1).to_pylist())):
-                    x += tail
+                found, off = tool.encode(part.column(1))
+                for row, (first, last) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                    x = found[first:last].tobytes() + tail
                     full = len(x) - len(x) % (4 * capacity)
                     for at, to in [*((a, a + 4 * capacity) for a in range(0, full, 4 * capacity)), *((a, a + 4 * grain) for a in range(full, len(x), 4 * grain))]:
                         rows.append(row)
